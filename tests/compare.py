@@ -1,0 +1,58 @@
+"""Run a registered query and its SQL over the same tables and compare whole results."""
+
+from __future__ import annotations
+
+import math
+import pathlib
+
+import duckdb
+
+from themeloom.plans import catalog
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    connection.execute("SET threads TO 4")
+    for path in pathlib.Path(folder).glob("*.parquet"):
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return connection
+
+
+def _kind(value: object) -> str:
+    return "int" if isinstance(value, int) and not isinstance(value, bool) else type(value).__name__
+
+
+def _sorted(rows: list[tuple]) -> list[tuple]:
+    return sorted(rows, key=lambda row: tuple((v is None, str(v)) for v in row))
+
+
+def spark_rows(spark, name: str, folder: str) -> tuple[list[str], list[tuple]]:
+    df = catalog.QUERIES[name](spark, folder)
+    columns = sorted(df.columns)
+    return columns, _sorted([tuple(row[c] for c in columns) for row in df.collect()])
+
+
+def sql_rows(connection, name: str) -> tuple[list[str], list[tuple]]:
+    result = connection.execute(catalog.SQL[name])
+    names = [item[0] for item in result.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rows = result.fetchall()
+    return [names[i] for i in order], _sorted([tuple(row[i] for i in order) for row in rows])
+
+
+def differences(spark, connection, name: str, folder: str) -> str | None:
+    """None when equal, else a short description of what differs."""
+    columns, got = spark_rows(spark, name, folder)
+    expected_columns, expected = sql_rows(connection, name)
+    if columns != expected_columns:
+        return f"columns {columns} != {expected_columns}"
+    if len(got) != len(expected):
+        extra = _sorted(list(set(got) - set(expected)))[:2]
+        missing = _sorted(list(set(expected) - set(got)))[:2]
+        return f"rows {len(got)} != {len(expected)}; extra {extra}; missing {missing}"
+    for left, right in zip(got, expected):
+        for column, a, b in zip(columns, left, right):
+            same = a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, abs_tol=1e-9))
+            if not same or (a is not None and _kind(a) != _kind(b)):
+                return f"{column}: {a!r} != {b!r} in {str(left)[:300]} / {str(right)[:300]}"
+    return None
