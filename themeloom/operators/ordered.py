@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.session import cut_lineage
+from themeloom.session import cut_lineage, tasks
 
 _PART = "_part"
 
@@ -33,11 +33,10 @@ def scan(
     """
     sums, maxes, previous = dict(sums or {}), dict(maxes or {}), dict(previous or {})
     group, order = list(group), list(order)
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inputs = {f"_in_{name}": expr for name, expr in {**sums, **maxes}.items()}
     ranged = (
         df.withColumns(inputs) if inputs else df
-    ).repartitionByRange(tasks, *group, *order).withColumn(_PART, F.spark_partition_id())
+    ).repartitionByRange(tasks(df.sparkSession), *group, *order).withColumn(_PART, F.spark_partition_id())
     # The written copy fixes which rows sit in which partition, whatever is recomputed later.
     ranged = cut_lineage(ranged)
 
@@ -84,7 +83,7 @@ def scan(
 
 
 def positions(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, start: int = 0
+    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, start: int = 1
 ) -> DataFrame:
     """Number the rows of each group from ``start`` in ``order``; no group means the whole table."""
     numbered = scan(df, group, order, sums={name: F.lit(1).cast("long")})

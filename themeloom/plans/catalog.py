@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from themeloom.operators import segments as seg
 from themeloom.operators import theme_state, themes, topics
 from themeloom.plans import reference_sql as ref
 from themeloom.plans import relations as rel
-from themeloom.session import configure, cut_lineage, shared_folder
+from themeloom.session import configure, cut_lineage, work_folder
 from themeloom.sources import tables
 from themeloom.streaming import stages
 
@@ -43,11 +42,6 @@ def stamp(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared one, for queries that exercise sinks and streams."""
-    return f"{shared_folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
-
-
 # ---- sources, sinks ---------------------------------------------------------------------------
 
 @query("ingest_inputs", """SELECT record_id, original_text, source, submission_key, form_key, question_key,
@@ -892,8 +886,8 @@ def replay_pending(spark, d):
 
 
 @query("link_topics", """SELECT theme_id, arg_min(topic, input_id) AS topic FROM (
-  SELECT DISTINCT t.id AS theme_id, i.topic, i.id AS input_id FROM q_inputs i JOIN q_themes t ON t.id = 1 + i.id % 100 WHERE i.topic IS NOT NULL)
-WHERE NOT EXISTS (SELECT 1 FROM q_theme_topics l WHERE l.theme_id = 1 + input_id % 100 AND lower(l.topic) = lower(topic))
+  SELECT DISTINCT t.id AS theme_id, i.topic, i.id AS input_id FROM q_inputs i JOIN q_themes t ON t.id = 1 + i.id % 100 WHERE i.topic IS NOT NULL) o
+WHERE NOT EXISTS (SELECT 1 FROM q_theme_topics l WHERE l.theme_id = o.theme_id AND lower(l.topic) = lower(o.topic))
 GROUP BY theme_id, lower(topic)""")
 def link_topics(spark, d):
     offered = rel.inputs(spark, d).where("topic IS NOT NULL").select(
