@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from themeloom.session import cut_lineage
 
 
+def _jump(aliases: DataFrame) -> DataFrame:
+    """Follow each open pointer to where its target points; drop pointers to missing ids."""
+    known = aliases.select(
+        F.col("theme_id").alias("target"),
+        F.col("target").alias("next_target"),
+        F.col("root_id").alias("next_root"),
+    )
+    jumped = aliases.where(F.col("root_id").isNull()).drop("root_id").join(known, "target").select(
+        "theme_id", F.col("next_target").alias("target"), F.col("next_root").alias("root_id")
+    )
+    return aliases.where(F.col("root_id").isNotNull()).unionByName(jumped)
+
+
 def resolve_roots(themes: DataFrame) -> DataFrame:
     """(theme_id, root_id) for every theme whose merge pointers lead to a live theme.
 
-    Pointer jumping: a round doubles the distance followed, so depth d takes log2(d) joins.
+    Pointer jumping: a jump doubles the distance followed, so depth d takes log2(d) joins.
     Ids on a cycle, or behind a missing parent, never reach a root and are left out.  Distances
     to a root are contiguous, so a round that settles nothing settles nothing ever after.
     """
@@ -33,16 +46,7 @@ def resolve_roots(themes: DataFrame) -> DataFrame:
         if counts["settled"] == counts["total"] or counts["settled"] == settled:
             break
         settled = counts["settled"]
-        known = aliases.select(
-            F.col("theme_id").alias("target"),
-            F.col("target").alias("next_target"),
-            F.col("root_id").alias("next_root"),
-        )
-        open_ids = aliases.where(F.col("root_id").isNull()).drop("root_id")
-        jumped = open_ids.join(known, "target").select(
-            "theme_id", F.col("next_target").alias("target"), F.col("next_root").alias("root_id")
-        )
-        aliases = cut_lineage(aliases.where(F.col("root_id").isNotNull()).unionByName(jumped))
+        aliases = cut_lineage(_jump(_jump(aliases)))
     found = aliases.where(F.col("root_id").isNotNull()).select("theme_id", "root_id")
     return roots.unionByName(found)
 

@@ -136,8 +136,8 @@ def answer_topic_theme_chain(
 ) -> DataFrame:
     """Form, question, submission, answer, topic, current theme; answers without a topic or theme stay.
 
-    A topic linked only to themes without a live root keeps one row with a NULL theme, and so
-    does a topic with at least one such link beside live ones when ``linked`` carries NULL themes.
+    ``linked`` is ``linked_or_dead``: a topic linked to a theme without a live root keeps a row with
+    a NULL theme.  Topics and links are distinct before the join, so the texts need no distinct.
     """
     topics = input_topics(inputs, segments).withColumn("topic_key", F.lower("topic"))
     named = topics.join(linked, "topic_key", "left").select(
@@ -149,7 +149,7 @@ def answer_topic_theme_chain(
         "submission_key", F.col("id").alias("answer_id"), "original_text",
         F.col("answer_topic").alias("topic"), F.col("theme.id").alias("theme_id"),
         F.col("theme.name").alias("theme_name"),
-    ).distinct()
+    )
 
 
 def linked_or_dead(themes: DataFrame, theme_topics: DataFrame, roots: DataFrame) -> DataFrame:

@@ -720,8 +720,9 @@ def topic_vote(spark, d):
 
 def _theme_inputs(spark, d, wording=False):
     units = _units(spark, d, wording)
-    found = clusters.eligible(clusters.topic_clusters(units))
-    offered = themes.rank_existing_themes(found, rel.themes(spark, d), rel.theme_topics(spark, d))
+    # Both are one row per topic or a few, and several steps read them again.
+    found = cut_lineage(clusters.eligible(clusters.topic_clusters(units)))
+    offered = cut_lineage(themes.rank_existing_themes(found, rel.themes(spark, d), rel.theme_topics(spark, d)))
     return units, found, offered
 
 
