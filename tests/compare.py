@@ -27,7 +27,10 @@ def _sorted(rows: list[tuple]) -> list[tuple]:
 
 
 def spark_rows(spark, name: str, folder: str) -> tuple[list[str], list[tuple]]:
-    df = catalog.QUERIES[name](spark, folder)
+    return frame_rows(catalog.QUERIES[name](spark, folder))
+
+
+def frame_rows(df) -> tuple[list[str], list[tuple]]:
     columns = sorted(df.columns)
     return columns, _sorted([tuple(row[c] for c in columns) for row in df.collect()])
 
@@ -41,9 +44,12 @@ def sql_rows(connection, name: str) -> tuple[list[str], list[tuple]]:
 
 
 def differences(spark, connection, name: str, folder: str) -> str | None:
+    return difference(spark_rows(spark, name, folder), sql_rows(connection, name))
+
+
+def difference(left: tuple[list[str], list[tuple]], right: tuple[list[str], list[tuple]]) -> str | None:
     """None when equal, else a short description of what differs."""
-    columns, got = spark_rows(spark, name, folder)
-    expected_columns, expected = sql_rows(connection, name)
+    (columns, got), (expected_columns, expected) = left, right
     if columns != expected_columns:
         return f"columns {columns} != {expected_columns}"
     if len(got) != len(expected):

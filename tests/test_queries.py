@@ -8,8 +8,6 @@ from tests import compare
 from themeloom.plans import catalog
 
 FOLDER = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
-# Written and streamed data pass through files; their plans say nothing about the operator.
-SLOW = {"apply_new", "apply_reuse", "apply_update", "apply_merge", "replay_pending"}
 
 
 @pytest.fixture(scope="module")
@@ -17,23 +15,16 @@ def connection():
     return compare.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
-def test_query_equals_sql(spark, connection, name):
-    assert compare.differences(spark, connection, name, FOLDER) is None
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_query_without_sql_returns_rows(spark, name):
-    _, rows = compare.spark_rows(spark, name, FOLDER)
-    assert rows
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
-def test_no_plan_pairs_all_rows(spark, name):
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_query(spark, connection, name):
     df = catalog.QUERIES[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
-    assert "NestedLoopJoin" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    got = compare.frame_rows(df)
+    if name in catalog.SQL:
+        assert compare.difference(got, compare.sql_rows(connection, name)) is None
+    else:
+        assert got[1]
 
 
 def test_entry_points():

@@ -1,0 +1,59 @@
+"""Streams end where the batch transforms end, and take only what is new."""
+
+from pyspark.sql import functions as F
+
+from themeloom.operators import jobs
+from themeloom.plans import relations as rel
+from themeloom.sources import tables
+from themeloom.streaming import stages
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_inputs_stream_in_pieces(spark, tmp_path):
+    docs = rel.read(spark, FOLDER, "documents")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    columns = ["id", "original_text", "question_id"]
+    shaped = rel.inputs(spark, FOLDER).select(*columns)
+    for part in range(2):
+        shaped.where(f"id % 3 = {part}").coalesce(1).write.mode("append").parquet(source)
+    schema = "id long, original_text string, question_id long"
+    questions = rel.questions(spark, FOLDER)
+
+    def run():
+        stages.stream_inputs(stages.read_stream(spark, source, schema, 1), questions, out)
+
+    run()
+    assert tables.read_stage(spark, out, "inputs").count() == shaped.where("id % 3 < 2").count()
+    run()  # nothing new
+    assert tables.read_stage(spark, out, "inputs").count() == shaped.where("id % 3 < 2").count()
+    shaped.where("id % 3 = 2").coalesce(1).write.mode("append").parquet(source)
+    run()
+    done = tables.read_stage(spark, out, "inputs")
+    assert done.count() == done.select("id").distinct().count() == docs.count()
+    segments, ready = stages.new_segments(shaped)
+    streamed = tables.read_stage(spark, out, "segments")
+    keys = ["id", "segment_text"]
+    assert {tuple(r) for r in streamed.select(*keys).collect()} == {tuple(r) for r in segments.select(*keys).collect()}
+    vectors = tables.read_stage(spark, out, "embeddings")
+    assert vectors.count() == segments.count() + ready.count()
+
+
+def test_retry_state_equals_batch(spark, tmp_path):
+    failures = rel.failures(spark, FOLDER)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    failures.repartition(3).write.parquet(source)
+    stream = stages.read_stream(
+        spark, source, "event_id long, job_type string, original_input_id long, failed_at timestamp", 1)
+    got = stages.stream_retry_state(stream, out)
+    batch = jobs.retry_state(failures)
+    columns = ["job_type", "original_input_id", "attempts", "status", "available_at"]
+    assert {tuple(r) for r in got.select(*columns).collect()} == {tuple(r) for r in batch.select(*columns).collect()}
+    assert got.count() == batch.count()
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    rows = spark.range(5).withColumn("v", F.col("id") * 2)
+    for _ in range(2):
+        tables.append_batch(rows, str(tmp_path), "s", 3)
+    assert tables.read_stage(spark, str(tmp_path), "s").count() == 5

@@ -32,8 +32,9 @@ def required(text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Lower-case characters whose case fold differs from themselves: one-to-one and expanding."""
+def _fold_tables() -> tuple[str, str, str]:
+    """Lower-case characters whose case fold differs from themselves: those that fold to one
+    character, what they fold to, and space-separated entries of those that fold to several."""
     single_from, single_to, expanding = [], [], []
     for point in range(0x80, 0x1FFFF):
         if 0xD800 <= point <= 0xDFFF:
@@ -46,8 +47,8 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
             single_from.append(char)
             single_to.append(folded)
         else:
-            expanding.append((char, folded))
-    return "".join(single_from), "".join(single_to), tuple(expanding)
+            expanding.append(char + folded)
+    return "".join(single_from), "".join(single_to), " ".join(expanding)
 
 
 def casefold(text: Column) -> Column:
@@ -55,9 +56,12 @@ def casefold(text: Column) -> Column:
     few characters that fold to several are replaced only in rows that hold one."""
     single_from, single_to, expanding = _fold_tables()
     folded = F.translate(F.lower(text), single_from, single_to)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in expanding])
-    expanded = F.aggregate(pairs, folded, lambda acc, pair: F.replace(acc, pair["a"], pair["b"]))
-    has_expanding = folded.rlike("[" + "".join(a for a, _ in expanding) + "]")
+    entries = F.split(F.lit(expanding), " ")
+    expanded = F.aggregate(
+        entries, folded,
+        lambda acc, entry: F.replace(acc, F.substring(entry, 1, 1), F.substring(entry, 2, 9)),
+    )
+    has_expanding = folded.rlike("[" + "".join(entry[0] for entry in expanding.split(" ")) + "]")
     only_ascii = ~text.rlike("[^\\x00-\\x7F]")
     return F.when(only_ascii, F.lower(text)).when(has_expanding, expanded).otherwise(folded)
 
