@@ -144,15 +144,13 @@ def themes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def theme_topics(spark: SparkSession, folder: str) -> DataFrame:
-    ids = themes(spark, folder).select("id")
-    segment_topic = "concat(CASE WHEN id % 3 = 0 THEN 'TOPIC ' ELSE 'topic ' END, CAST((id - id % 25) / 25 AS BIGINT))"
-    source_topic = """concat('src', id % 20, ' ', CASE id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END)"""
-    links = [
-        ids.select(F.col("id").alias("theme_id"), F.expr(segment_topic).alias("topic")),
-        ids.where("id % 7 = 0 AND id <= 600").select(F.col("id").alias("theme_id"), F.expr(source_topic).alias("topic")),
-        ids.where("id IN (20, 40, 61)").select(F.col("id").alias("theme_id"), F.lit("general").alias("topic")),
-    ]
-    return links[0].union(links[1]).union(links[2])
+    """One to three topics per theme, from a single pass."""
+    links = """array_compact(array(
+        concat(CASE WHEN id % 3 = 0 THEN 'TOPIC ' ELSE 'topic ' END, CAST((id - id % 25) / 25 AS BIGINT)),
+        CASE WHEN id % 7 = 0 AND id <= 600 THEN concat('src', id % 20, ' ',
+            CASE id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END) END,
+        CASE WHEN id IN (20, 40, 61) THEN 'general' END))"""
+    return themes(spark, folder).select(F.col("id").alias("theme_id"), F.explode(F.expr(links)).alias("topic"))
 
 
 def suggestions(spark: SparkSession, folder: str) -> DataFrame:
