@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import casefold, low_information
@@ -39,17 +39,43 @@ def analysis_units(inputs: DataFrame, segments: DataFrame, questions: DataFrame
     return units.join(wording, "question_id", "left")
 
 
+def first_member(df: DataFrame, *keys: str | Column, **aggregates: Column) -> DataFrame:
+    """The lowest member per key as (entity_type, entity_id), with further aggregates.
+
+    Two numeric minima instead of the minimum of a struct: fixed-width buffers keep this a hash
+    aggregation, where a struct or string buffer would sort every row first.
+    """
+    kind, number = F.col("entity_type"), F.col("entity_id")
+    grouped = df.groupBy(*keys).agg(
+        F.min(F.when(kind == "original", number)).alias("_original"),
+        F.min(F.when(kind == "segment", number)).alias("_segment"),
+        *[expr.alias(name) for name, expr in aggregates.items()],
+    )
+    return grouped.withColumns({
+        "entity_type": F.when(F.col("_original").isNotNull(), "original").otherwise("segment"),
+        "entity_id": F.coalesce("_original", "_segment"),
+    }).drop("_original", "_segment")
+
+
 def topic_clusters(units: DataFrame) -> DataFrame:
     """One row per topic: display name, member count, rich members, distinct questions.
 
     Only aggregates are kept per topic, so a topic holding a third of all units is reduced
-    map-side; the members stay exploded in ``units``.
+    map-side; the members stay exploded in ``units``.  Texts are judged before the aggregation and
+    go no further.
     """
-    first_seen = F.struct(F.lower("topic"), "entity_type", "entity_id", "topic")
-    return units.groupBy("topic_key").agg(
+    judged = units.select(
+        "topic_key", "topic", "question_id", *MEMBER,
+        F.when(low_information(F.col("text")), 0).otherwise(1).alias("_rich"),
+    )
+    spelled = first_member(
+        judged, "topic_key", "topic", "question_id", _members=F.count(F.lit(1)), _richness=F.sum("_rich")
+    )
+    first_seen = F.struct(F.lower("topic"), *MEMBER, "topic")
+    return spelled.groupBy("topic_key").agg(
         F.min_by("topic", first_seen).alias("topic_name"),
-        F.count(F.lit(1)).alias("member_count"),
-        F.sum(F.when(low_information(F.col("text")), 0).otherwise(1)).alias("rich_member_count"),
+        F.sum("_members").alias("member_count"),
+        F.sum("_richness").alias("rich_member_count"),
         F.countDistinct("question_id").alias("distinct_question_count"),
     )
 
@@ -66,12 +92,8 @@ def eligible(clusters: DataFrame, min_rich: int = 2, min_questions: int = 3) ->
 
 def distinct_questions(units: DataFrame) -> DataFrame:
     """(topic_key, pos, question_text): wordings in the order members first bring them up."""
-    firsts = (
-        units.where(F.col("question_id").isNotNull() & F.col("question_text").isNotNull())
-        .groupBy("topic_key", "question_text")
-        .agg(F.min(F.struct(*MEMBER)).alias("_first"))
-        .select("topic_key", "question_text", "_first.*")
-    )
+    asked = units.where(F.col("question_id").isNotNull() & F.col("question_text").isNotNull())
+    firsts = first_member(asked, "topic_key", "question_text")
     return positions(firsts, ["topic_key"], [*MEMBER, "question_text"], "pos", start=0).select(
         "topic_key", "pos", "question_text"
     )
@@ -116,27 +138,22 @@ def sample_evidence(units: DataFrame, limit: int = 5) -> DataFrame:
     """(topic_key, pos, text): first the first member of each distinct question, then the rest.
 
     At most ``limit`` members come from the first pass, so the first ``2 * limit`` members of a
-    topic always hold enough to fill up: neither branch ranks a whole topic.
+    topic always hold enough to fill up: neither branch ranks a whole topic.  Members are chosen by
+    id alone; only the chosen few fetch their texts.
     """
     if limit < 1:
         raise ValueError("limit starts at 1")
-    row = F.struct(*MEMBER, "text")
-    openers = (
-        units.where(F.col("question_id").isNotNull())
-        .groupBy("topic_key", "question_id")
-        .agg(F.min_by(row, F.struct(*MEMBER)).alias("_row"))
-        .select("topic_key", "_row.*")
-    )
-    opening = first_rows(openers, ["topic_key"], MEMBER, limit).select(
-        "topic_key", *MEMBER, "text", F.lit(0).alias("_pass")
-    )
-    others = first_rows(
-        units.select("topic_key", *MEMBER, "text"), ["topic_key"], MEMBER, 2 * limit
-    ).select("topic_key", *MEMBER, "text", F.lit(1).alias("_pass"))
+    ids = units.select("topic_key", "question_id", *MEMBER)
+    openers = first_member(ids.where(F.col("question_id").isNotNull()), "topic_key", "question_id")
+    opening = first_rows(openers, ["topic_key"], MEMBER, limit)
+    others = first_rows(ids, ["topic_key"], MEMBER, 2 * limit)
     # A member of both passes keeps the first.
-    chosen = opening.unionByName(others).groupBy("topic_key", *MEMBER).agg(
-        F.min("_pass").alias("_pass"), F.min("text").alias("text")
-    )
-    return first_rows(chosen, ["topic_key"], ["_pass", *MEMBER], limit).select(
-        "topic_key", F.col("rank").alias("pos"), "text"
+    chosen = (
+        opening.select("topic_key", *MEMBER, F.lit(0).alias("_pass"))
+        .unionByName(others.select("topic_key", *MEMBER, F.lit(1).alias("_pass")))
+        .groupBy("topic_key", *MEMBER).agg(F.min("_pass").alias("_pass"))
     )
+    ranked = first_rows(chosen, ["topic_key"], ["_pass", *MEMBER], limit)
+    places = ranked.select(*MEMBER, F.col("topic_key").alias("_key"), F.col("rank").alias("pos"))
+    texts = units.select(*MEMBER, "text")
+    return texts.join(places, MEMBER).select(F.col("_key").alias("topic_key"), "pos", "text")
