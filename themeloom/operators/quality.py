@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.operators.jobs import next_job
-from themeloom.operators.ordered import first_per_key, positions
+from themeloom.operators.ordered import positions
 from themeloom.sources import schema
 
 
@@ -228,4 +228,4 @@ def jobs_from_status(inputs: DataFrame, jobs: DataFrame) -> DataFrame:
     missing = due.where(F.col("job_type").isNotNull()).join(
         jobs.select("job_type", "original_input_id"), ["job_type", "original_input_id"], "left_anti"
     )
-    return first_per_key(missing, ["job_type", "original_input_id"], [F.col("original_input_id")])
+    return missing.distinct()

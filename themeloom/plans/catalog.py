@@ -526,7 +526,8 @@ def segment_order(spark, d):
 
 @query("first_seen_name", "SELECT lower(topic) AS topic_key, arg_min(topic, id) AS topic FROM q_inputs WHERE topic IS NOT NULL GROUP BY 1")
 def first_seen_name(spark, d):
-    named = rel.inputs(spark, d).where("topic IS NOT NULL").select("id", "topic", tx.casefold(F.col("topic")).alias("topic_key"))
+    named = rel.inputs(spark, d).where("topic IS NOT NULL").groupBy(
+        "topic", tx.casefold(F.col("topic")).alias("topic_key")).agg(F.min("id").alias("id"))
     return ordered.first_per_key(named, ["topic_key"], [F.col("id")]).select("topic_key", "topic")
 
 
