@@ -1021,7 +1021,7 @@ def suggestions_by_source(spark, d):
 
 # ---- data quality, backfill, attempt log, providers, streams ----------------------------------
 
-@query("constraint_report")
+@query("constraint_report", ref.constraint_sql())
 def constraint_report(spark, d):
     names = ("questions", "inputs", "segments", "embeddings", "themes", "theme_topics", "suggestions", "evidence", "jobs")
     return quality.constraint_report({name: getattr(rel, name)(spark, d) for name in names})
@@ -1042,15 +1042,6 @@ def embedding_readiness(spark, d):
     return seg.embedding_readiness(rel.inputs(spark, d), rel.segments(spark, d), rel.embeddings(spark, d))
 
 
-@query("outcome_checks", """SELECT 'terminal_status' AS check_name, count(*) FILTER (WHERE status NOT IN ('completed', 'ineligible')) AS bad_rows FROM q_inputs
-UNION ALL SELECT 'contextual_representation', count(*) FROM q_embeddings e JOIN q_inputs i ON i.id = e.original_input_id
-  WHERE i.question_id IS NOT NULL AND e.embedding_representation <> 'question-answer'
-UNION ALL SELECT 'generic_representation', count(*) FROM q_embeddings e JOIN q_inputs i ON i.id = e.original_input_id
-  WHERE i.question_id IS NULL AND e.embedding_representation <> 'answer-only'""")
-def outcome_checks(spark, d):
-    return quality.outcome_checks(rel.inputs(spark, d), rel.embeddings(spark, d))
-
-
 ref.VIEWS["q_accepted"] = """
 SELECT r.*, q.id AS stored_id, q.question_text AS stored_text FROM q_checked r LEFT JOIN q_questions q
   ON q.id % 2 = 0 AND q.source = r.source AND q.form_key = r.form_key AND q.question_key = r.question_key
@@ -1061,19 +1052,39 @@ SELECT source, form_key, question_key, question_version, arg_min(question_text,
 FROM q_accepted WHERE form_key IS NOT NULL AND stored_id IS NULL GROUP BY 1, 2, 3, 4"""
 
 
-@query("resolve_questions", """SELECT a.record_id, coalesce(a.stored_id, c.id) AS question_id,
+ref.VIEWS["q_resolved"] = """
+SELECT a.record_id, coalesce(a.stored_id, c.id) AS question_id,
   coalesce(coalesce(a.stored_text, c.question_text) <> a.question_text, false) AS conflict
 FROM q_accepted a LEFT JOIN q_created c ON c.source = a.source AND c.form_key = a.form_key AND c.question_key = a.question_key
-  AND c.question_version = a.question_version""")
-def resolve_questions(spark, d):
+  AND c.question_version = a.question_version"""
+
+
+def _resolved(spark, d):
     stored = rel.questions(spark, d).where("id % 2 = 0")
     accepted = intake.clean_inputs(rel.raw_records(spark, d)).accepted
     accepted = accepted.withColumn("question_version", F.col("question_version").cast("long"))
-    resolved = intake.resolve_questions(accepted, stored)
+    return intake.resolve_questions(accepted, stored)
+
+
+@query("resolve_questions", "SELECT record_id, question_id, conflict FROM q_resolved")
+def resolve_questions(spark, d):
+    resolved = _resolved(spark, d)
     return resolved.records.select("record_id", "question_id", F.lit(False).alias("conflict")).union(
         resolved.conflicts.select("record_id", "question_id", F.lit(True).alias("conflict")))
 
 
+@query("outcome_checks", """SELECT 'terminal_status' AS check_name, count(*) FILTER (WHERE status NOT IN ('completed', 'ineligible')) AS bad_rows FROM q_inputs
+UNION ALL SELECT 'contextual_representation', count(*) FROM q_embeddings e JOIN q_inputs i ON i.id = e.original_input_id
+  WHERE i.question_id IS NOT NULL AND e.embedding_representation <> 'question-answer'
+UNION ALL SELECT 'generic_representation', count(*) FROM q_embeddings e JOIN q_inputs i ON i.id = e.original_input_id
+  WHERE i.question_id IS NULL AND e.embedding_representation <> 'answer-only'
+UNION ALL SELECT 'conflict_created_no_input', count(*) FROM q_resolved r JOIN q_inputs i ON i.id = r.record_id WHERE r.conflict""")
+def outcome_checks(spark, d):
+    """The given documents all became inputs, so conflicting records show up as leaked here."""
+    conflicts = _resolved(spark, d).conflicts
+    return quality.outcome_checks(rel.inputs(spark, d), rel.embeddings(spark, d), conflicts)
+
+
 ref.VIEWS["q_tagged"] = """
 SELECT CASE id % 6 WHEN 0 THEN '  ' WHEN 1 THEN NULL WHEN 2 THEN ' Theme ' || (id // 10) || ' ' WHEN 3 THEN 'legacy ' || (id // 12)
   ELSE 'Legacy ' || (id // 12) END AS theme, CASE WHEN id % 7 = 0 THEN ' ' ELSE topic END AS topic FROM q_inputs"""

@@ -221,3 +221,86 @@ def sql(body: str) -> str:
     need(body)
     parts = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed)
     return f"WITH RECURSIVE {parts}\n{body}" if parts else body
+
+
+def constraint_sql() -> str:
+    """Every stored rule counted on its own, one SELECT each."""
+    def blank(name: str) -> str:
+        return f"({name} IS NULL OR trim({name}) = '')"
+
+    def set_but(name: str, longest: int = 0) -> str:
+        long = f" OR length({name}) > {longest}" if longest else ""
+        return f"({name} IS NOT NULL AND (trim({name}) = ''{long}))"
+
+    def text(name: str, longest: int) -> str:
+        return f"({blank(name)} OR length({name}) > {longest})"
+
+    def not_one(a: str, b: str) -> str:
+        return f"(({a} IS NULL) = ({b} IS NULL))"
+
+    def outside(name: str, *values: str) -> str:
+        return f"({name} IS NULL OR {name} NOT IN ({', '.join(repr(v) for v in values)}))"
+
+    rows = {
+        "questions": {
+            "source_nonempty": blank("source"), "form_key_nonempty": blank("form_key"),
+            "question_key_nonempty": blank("question_key"), "text_nonempty": blank("question_text"),
+            "version_positive": "(question_version IS NULL OR question_version < 1)"},
+        "inputs": {
+            "text_nonempty": blank("original_text"), "source_nonempty": blank("source"),
+            "status_valid": outside("status", "new", "ineligible", "ready_for_embedding", "ready_for_analysis", "completed"),
+            "topic_valid": set_but("topic", 120), "submission_key_nonempty": set_but("submission_key"),
+            "completed_has_topic": "(status = 'completed' AND topic IS NULL)"},
+        "segments": {
+            "order_nonnegative": "(segment_order IS NULL OR segment_order < 0)",
+            "text_nonempty": blank("segment_text"), "topic_valid": set_but("topic", 120)},
+        "embeddings": {
+            "one_target": not_one("original_input_id", "segment_input_id"), "model_nonempty": blank("embedding_model"),
+            "representation_nonempty": blank("embedding_representation")},
+        "themes": {
+            "name_valid": text("name", 120), "description_length": "length(description) > 2000",
+            "not_self_merged": "merged_into_id = id"},
+        "theme_topics": {"topic_valid": text("topic", 120)},
+        "suggestions": {
+            "action_valid": outside("action", "reuse", "new", "merge", "update"),
+            "name_valid": text("proposed_name", 120), "description_valid": text("proposed_description", 2000),
+            "rationale_valid": text("rationale", 2000),
+            "fingerprint_valid": "NOT regexp_full_match(group_fingerprint, '[0-9a-f]{64}')",
+            "materialization_consistent": "((materialized_theme_id IS NULL) <> (materialized_at IS NULL))"},
+        "evidence": {"one_target": not_one("original_input_id", "segment_input_id")},
+        "jobs": {
+            "type_valid": outside("job_type", "eligibility_segmentation", "embeddings", "topics", "themes"),
+            "status_valid": outside("status", "pending", "processing", "completed", "failed"),
+            "attempts_nonnegative": "(attempts IS NULL OR attempts < 0)",
+            "lock_consistent": "((status = 'processing') <> (locked_at IS NOT NULL AND locked_by IS NOT NULL))"},
+    }
+    unique = [
+        ("questions", "identity_unique", "source, form_key, question_key, question_version"),
+        ("segments", "position_unique", "original_input_id, segment_order"),
+        ("embeddings", "original_unique", "original_input_id"), ("embeddings", "segment_unique", "segment_input_id"),
+        ("themes", "name_unique", "lower(name)"), ("theme_topics", "link_unique", "theme_id, lower(topic)"),
+        ("suggestions", "fingerprint_unique", "group_fingerprint"),
+        ("evidence", "original_unique", "suggestion_id, original_input_id"),
+        ("evidence", "segment_unique", "suggestion_id, segment_input_id"),
+        ("jobs", "input_stage_unique", "job_type, original_input_id")]
+    foreign = [
+        ("inputs", "question_id", "questions"), ("segments", "original_input_id", "inputs"),
+        ("embeddings", "original_input_id", "inputs"), ("embeddings", "segment_input_id", "segments"),
+        ("themes", "merged_into_id", "themes"), ("theme_topics", "theme_id", "themes"),
+        ("suggestions", "materialized_theme_id", "themes"), ("evidence", "suggestion_id", "suggestions"),
+        ("evidence", "original_input_id", "inputs"), ("evidence", "segment_input_id", "segments"),
+        ("jobs", "original_input_id", "inputs")]
+    parts = [
+        f"SELECT '{table}' AS table_name, '{rule}' AS rule, count(*) FILTER (WHERE {bad}) AS violations FROM q_{table}"
+        for table, rules in rows.items() for rule, bad in rules.items()
+    ]
+    for table, rule, key in unique:
+        known = " AND ".join(f"{part} IS NOT NULL" for part in key.split(", "))
+        parts.append(
+            f"SELECT '{table}', '{rule}', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM "
+            f"(SELECT count(*) AS n FROM q_{table} WHERE {known} GROUP BY {key})")
+    for table, column, parent in foreign:
+        parts.append(
+            f"SELECT '{table}', '{column}_exists', count(*) FROM q_{table} "
+            f"WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM q_{parent})")
+    return "\nUNION ALL ".join(parts)
