@@ -1,0 +1,11 @@
+"""The registered queries of this subpackage and, where SQL can express them, their SQL."""
+
+from __future__ import annotations
+
+from themeloom.llm import bpe
+
+QUERIES = {
+    "op9_byte_bpe": bpe.op9_byte_bpe,
+}
+
+SQL: dict[str, str] = {}
