@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from themeloom.llm import bpe
+from themeloom.llm import bpe, sharding, warc
 
 QUERIES = {
+    "op6_warc": warc.op6_warc,
+    "op8_sharding": sharding.op8_sharding,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_warc": warc.OP6_SQL,
+}
