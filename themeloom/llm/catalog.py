@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from themeloom.llm import bpe, sharding, warc
+from themeloom.llm import bpe, html, sharding, warc
 
 QUERIES = {
     "op6_warc": warc.op6_warc,
     "op8_sharding": sharding.op8_sharding,
+    "op10_html": html.op10_html,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
