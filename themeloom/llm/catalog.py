@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from themeloom.llm import bpe, html, sharding, warc
+from themeloom.llm import bpe, html, sharding, topk, warc
 
 QUERIES = {
+    "op4_top_k": topk.op4_top_k,
     "op6_warc": warc.op6_warc,
     "op8_sharding": sharding.op8_sharding,
     "op10_html": html.op10_html,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op4_top_k": topk.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
 }

@@ -67,11 +67,11 @@ def tokens(page: str) -> Iterator[Token]:
         name = name.lower()
         breaks = name not in INLINE
         if match["close"]:
-            depth = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == name), None)
+            depth, within = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == name), None), outside > 0
             if depth is not None:
                 outside -= sum(entry[2] for entry in stack[depth:])
                 del stack[depth:]
-            yield Token(None, "/" + name, name, outside > 0, breaks)
+            yield Token(None, "/" + name, name, within, breaks)
             continue
         called = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(match["rest"])) if match["rest"].strip(" /") else ""
         aside = name in ASIDE and not (name == "header" and any(entry[0] in ("article", "main") for entry in stack))
