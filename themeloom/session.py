@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A fact joined to a dimension on a hot key must be split even where that costs a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Batches for Python are bounded by bytes too: ten thousand long texts are no batch.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
