@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from themeloom.llm import bpe, html, sharding, topk, warc
+from themeloom.llm import bpe, html, jaccard, sharding, topk, warc
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op4_top_k": topk.op4_top_k,
     "op6_warc": warc.op6_warc,
     "op8_sharding": sharding.op8_sharding,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_jaccard_join": jaccard.OP1_SQL,
     "op4_top_k": topk.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
 }

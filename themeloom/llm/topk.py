@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ SCALE = 64.0
 def integers(column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Which rows take part, and the integer vectors by their dimension with the row numbers in column 0."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    values = pa.compute.fill_null(pa.compute.cast(column.flatten(), pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = pc.fill_null(pc.cast(column.flatten(), pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
     starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     found = {}
     for dim in np.unique(lengths[lengths > 0]):
@@ -75,7 +76,7 @@ def blocks(df: DataFrame, size: int, marks: dict[int, np.ndarray], id: str, vect
 
         for batch in batches:
             named = batch.column(id).is_valid().to_numpy(zero_copy_only=False)
-            ids = pa.compute.fill_null(batch.column(id), 0).to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(batch.column(id), 0).to_numpy(zero_copy_only=False)
             for dim, rows in integers(batch.column(vector))[1].items():
                 rows = rows[named[rows[:, 0]]]
                 rows = np.column_stack((ids[rows[:, 0]], rows[:, 1:]))
