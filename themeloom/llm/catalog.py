@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from themeloom.llm import bpe, html, jaccard, sharding, topk, warc
+from themeloom.llm import bpe, html, jaccard, sharding, suffixes, topk, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op4_top_k": topk.op4_top_k,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_warc": warc.op6_warc,
     "op8_sharding": sharding.op8_sharding,
     "op10_html": html.op10_html,
