@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from themeloom.llm import bpe, html, jaccard, sharding, suffixes, topk, warc
+from themeloom.llm import bpe, html, jaccard, quality, sharding, suffixes, topk, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
+    "op2_quality": quality.op2_quality,
     "op4_top_k": topk.op4_top_k,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_warc": warc.op6_warc,
