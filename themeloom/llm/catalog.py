@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from themeloom.llm import bpe, html, jaccard, quality, sharding, suffixes, topk, warc
+from themeloom.llm import bpe, decontaminate, html, jaccard, quality, sharding, suffixes, topk, warc
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_top_k": topk.op4_top_k,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_warc": warc.op6_warc,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_sharding": sharding.op8_sharding,
     "op10_html": html.op10_html,
     "op9_byte_bpe": bpe.op9_byte_bpe,

@@ -58,12 +58,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row numbers of the words (runs without 0x20 and 0x09-0x0D) of joined texts."""
+def words(blob: np.ndarray, offsets: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the words (runs without 0x20 and 0x09-0x0D, or the bytes marked in ``between``) of joined texts."""
     if not len(blob):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~WHITE[blob]
+    solid = ~between[blob]
     edge = np.zeros(len(blob) + 1, bool)
     edge[offsets[:-1]] = True
     before = np.concatenate(([False], solid[:-1]))
