@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from themeloom.llm import bpe, decontaminate, html, jaccard, quality, sharding, suffixes, topk, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_quality": quality.op2_quality,
     "op4_top_k": topk.op4_top_k,
