@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from themeloom.llm import bpe, decontaminate, html, jaccard, quality, sharding, suffixes, topk, warc
+from themeloom.llm import bpe, decontaminate, html, jaccard, language, quality, sharding, suffixes, topk, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_quality": quality.op2_quality,
+    "op3_language": language.op3_language,
     "op4_top_k": topk.op4_top_k,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_warc": warc.op6_warc,
