@@ -23,6 +23,8 @@ EVIDENCE = 50.0
 """Runs of bytes that a text counts as at most: neighbouring runs are no independent evidence."""
 HOST_WEIGHT, DOMAIN_WEIGHT, SMOOTH = 5.0, 20.0, 1.0
 """Pages that the prior of the level above counts as, for a host and for a domain; and what is added to each count."""
+TRUST = 4.0
+"""Pages that a declared language or an address suffix named like a language counts as for that language."""
 U = np.uint64
 HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)", re.I | re.S)
 TAG = re.compile(r"<[^>]*>")
@@ -143,7 +145,8 @@ def identify(pages: DataFrame, languages: list[str], model: np.ndarray) -> DataF
         """How often pages of language ``n`` have this value, this page left out: by Bayes' rule from the share among its pages."""
         own = F.when(F.col("best") == n, 1.0).otherwise(0.0)
         any_ = F.when(F.col("best") >= 0, 1.0).otherwise(0.0)
-        share = (of(f"{key}_votes", n) - own + SMOOTH * everywhere[n] * number) / (F.coalesce(f"{key}_pages", F.lit(0)) - any_ + SMOOTH * number)
+        named, any_named = F.when(F.col(key) == languages[n], TRUST).otherwise(0.0), F.when(F.col(key).isin(languages), TRUST).otherwise(0.0)
+        share = (of(f"{key}_votes", n) - own + named + SMOOTH * everywhere[n] * number) / (F.coalesce(f"{key}_pages", F.lit(0)) - any_ + any_named + SMOOTH * number)
         return F.when(F.col(key) == "", 0.0).otherwise(F.log(share / everywhere[n]))
 
     def prior(n: int) -> Column:
