@@ -1,0 +1,66 @@
+"""Plain versions of the operators, for small tables."""
+
+import hashlib
+import re
+
+LAST = (1 << 63) - 1
+
+
+def words(text):
+    return [w.decode("utf-8", "replace") for w in re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))]
+
+
+def shingles(text, length):
+    found = words(text)
+    return {tuple(found[i:i + length]) for i in range(len(found) - length + 1)} or ({tuple(found)} if found else set())
+
+
+def components(docs, length=4, num=85, den=100):
+    """Rows (doc_id, n_shingles, component_id); rows without an id take no part."""
+    sets = [(d, shingles(t, length)) for d, t in docs]
+    parent = {d: d for d, _ in sets if d is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if a is not None and b is not None and x and y and den * len(x & y) >= num * len(x | y):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return sorted(((d, len(s), None if d is None else root(d)) for d, s in sets), key=str)
+
+
+def repeats(docs, length=50):
+    """For each (id, text) the id (LAST: none), the bytes that stay and the spans that go."""
+    first = {}
+    for d, t in docs:
+        d, b = LAST if d is None else d, (t or "").encode()
+        for i in range(len(b) - length + 1):
+            first[b[i:i + length]] = min(d, first.get(b[i:i + length], LAST))
+    out = []
+    for d, t in docs:
+        key, b = LAST if d is None else d, (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if first[b[i:i + length]] < key:
+                gone[i:i + length] = b"\1" * length
+        spans = [m.span() for m in re.finditer(rb"\x01+", bytes(gone))]
+        out.append((key, bytes(x for x, g in zip(b, gone) if not g), spans))
+    return out
+
+
+def digest(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def infix_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        below = [i]
+        for j, y in enumerate(text, 1):
+            below.append(min(row[j - 1] + (x != y), row[j] + 1, below[-1] + 1))
+        row = below
+    return min(row)

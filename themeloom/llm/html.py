@@ -50,19 +50,21 @@ class Token:
     context: str
     outside: bool
     breaks: bool
+    main: int = 0
 
 
 def tokens(page: str) -> Iterator[Token]:
-    """Text runs and tags in page order; ``outside``: in an element that is no part of an article, ``breaks``: ends a block."""
-    at, stack, outside = 0, [], 0  # stack: (name, context, whether it is outside)
+    """Text runs and tags in page order; ``outside``: in an element that is no part of an article, ``breaks``: ends
+    a block, ``main``: the number of the outermost article or main element around it, 0 outside of any."""
+    at, stack, outside, main, mains = 0, [], 0, 0, 0  # stack: (name, context, whether it is outside)
     for match in TOKEN.finditer(page):
         if match.start() > at:
-            yield Token(page[at:match.start()], None, stack[-1][1] if stack else "", outside > 0, False)
+            yield Token(page[at:match.start()], None, stack[-1][1] if stack else "", outside > 0, False, main)
         at = match.end()
         name = match["name"]
         if name is None:
             if match["raw"]:
-                yield Token(None, match["raw"].lower(), match["raw"].lower(), True, match["raw"].lower() not in INLINE)
+                yield Token(None, match["raw"].lower(), match["raw"].lower(), True, match["raw"].lower() not in INLINE, main)
             continue
         name = name.lower()
         breaks = name not in INLINE
@@ -71,7 +73,9 @@ def tokens(page: str) -> Iterator[Token]:
             if depth is not None:
                 outside -= sum(entry[2] for entry in stack[depth:])
                 del stack[depth:]
-            yield Token(None, "/" + name, name, within, breaks)
+            if name in ("article", "main") and not any(entry[0] in ("article", "main") for entry in stack):
+                main = 0
+            yield Token(None, "/" + name, name, within, breaks, main)
             continue
         called = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(match["rest"])) if match["rest"].strip(" /") else ""
         aside = name in ASIDE and not (name == "header" and any(entry[0] in ("article", "main") for entry in stack))
@@ -90,9 +94,12 @@ def tokens(page: str) -> Iterator[Token]:
             parent = stack[-1][1] if stack else ""
             stack.append((name, context if breaks or not parent else parent, aside))
             outside += aside
-        yield Token(None, name, context, outside > 0, breaks)
+        if name in ("article", "main") and not main and not outside:
+            mains += 1
+            main = mains
+        yield Token(None, name, context, outside > 0, breaks, main)
     if at < len(page):
-        yield Token(page[at:], None, stack[-1][1] if stack else "", outside > 0, False)
+        yield Token(page[at:], None, stack[-1][1] if stack else "", outside > 0, False, main)
 
 
 @dataclass
@@ -152,6 +159,10 @@ def extract(page: str | None, weights: Weights) -> str:
         best_first -= 1
     while -1 < best_end < len(found) - 1 and not found[best_end + 1].breaks:
         best_end += 1
+    main = max((token.main for token in found[best_first:best_end + 1] if token.tag is None), default=0)
+    if main:  # a region in an article takes in the short blocks at its ends
+        within = [n for n, token in enumerate(found) if token.main == main]
+        best_first, best_end = min(best_first, within[0]), max(best_end, within[-1])
     blocks, block = [], []
     for token in found[best_first:best_end + 1]:
         if token.tag is None:
