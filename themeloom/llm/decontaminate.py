@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import LOWER, documents, hashes, mix, slices, table, text_bytes, words
+from themeloom.llm.common import LOWER, documents, hashes, mix, slices, table, words
 
 EDITS = 0.15
 """Greatest edit distance of a match as a share of the item's length."""
@@ -30,11 +30,13 @@ LEAST_WORDS = 8
 """Items of fewer words are no evidence and are not looked for."""
 ANCHORS = 24
 """Words, and as many pairs of neighbouring words, that anchor an item at most: those that are rarest in all texts."""
-RARE, LEAST_ANCHORS = 1 / 30_000, 8
-"""More frequent words anchor nothing by themselves, and more frequent pairs only where an item has fewer rare ones than this."""
+RARE = 1 / 30_000
+"""More frequent words anchor nothing by themselves."""
 PIECES = 16
 ITEM_BYTES = 1 << 20
 """Bytes of items that one pass over the texts looks for; more items take more passes."""
+LONG = 200
+"""Words of an item that are looked for as one: longer items are cut into pieces of about equal length, and one piece found is the item found."""
 U = np.uint64
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -99,7 +101,7 @@ class Index:
         items = [data[ends[first[n]]:ends[first[n] + count[n]] - 1].tobytes() if count[n] else b"" for n in range(len(raw))]
         chosen = []
         total = max(1, counts.get(0, 0))
-        for row, always in zip(terms, (0, LEAST_ANCHORS)):
+        for row, always in zip(terms, (0, ANCHORS)):
             often = np.array([counts.get(int(t), 0) for t in row], np.int64)
             rank = np.empty(len(row), np.int64)
             order = np.lexsort((often, row == 0, text))
@@ -138,21 +140,21 @@ class Index:
 
     def outputs(self, data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """The sampled CGK outputs of windows laid at ``at`` over ``data``, within ``low`` and ``high``, as their anchors sample them."""
-        result = np.zeros((len(at), *self.shares.shape), np.uint8)
+        result = np.zeros((len(at), self.shares.size), np.uint8)
+        shares = self.shares.ravel().astype(np.float32)
         order = np.argsort(self.after[anchor], kind="stable")  # walks of like length together
         for start in range(0, len(at), 4_096):
             some = order[start:start + 4_096]
-            before, after = self.before[anchor[some]], self.after[anchor[some]]
-            if not len(before):
-                continue
+            before, after = self.before[anchor[some]].astype(np.int32), self.after[anchor[some]].astype(np.int32)
             forth = walk(data, at[some], high[some], 1, self.bits, int(3 * after.max()))
             back = walk(data, at[some] - 1, low[some] - 1, -1, self.bits, int(3 * before.max()) + 1)
-            place = (self.shares[None] * (3 * (before + after))[:, None, None]).astype(np.int64)
-            ahead = place < 3 * after[:, None, None]
-            row = np.arange(len(before))[:, None, None]
-            behind = np.where(ahead, 0, place - 3 * after[:, None, None])
-            result[some] = np.where(ahead, forth[np.where(ahead, place, 0), row], back[behind, row])
-        return result
+            place = (shares * (3 * (before + after)).astype(np.float32)[:, None]).astype(np.int32)
+            # Places beyond the walk forwards are places of the walk backwards, which lies below it.
+            place += (place >= 3 * after[:, None]) * (len(forth) - 3 * after)[:, None]
+            place *= len(some)
+            place += np.arange(len(some), dtype=np.int32)[:, None]
+            result[some] = np.concatenate((forth, back)).ravel().take(place)
+        return result.reshape(-1, *self.shares.shape)
 
     def matches(self, blob: np.ndarray, offsets: np.ndarray, edits: float) -> list[tuple[int, int, int]]:
         """(text, item, distance) of every item found in a text."""
@@ -187,6 +189,13 @@ class Index:
         return [(*key, distance) for key, distance in sorted(found.items())]
 
 
+def pieces(text: str) -> list[str]:
+    """The words of a text in runs of about equal number, LONG at most."""
+    found = text.split()
+    count = -(-len(found) // LONG)
+    return [" ".join(found[n * len(found) // count:(n + 1) * len(found) // count]) for n in range(count)]
+
+
 def may_hold(item: bytes, text: bytes, edits: int, size: int = 5) -> bool:
     """Whether enough short runs of ``item`` occur in ``text`` for that many edits, each of which spoils ``size`` runs at most."""
     if item in text:
@@ -282,13 +291,15 @@ def leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, text: str = "te
 
         return frame.mapInArrow(run, schema)
 
-    texts_of = df.select(text_bytes(text).alias("__text"))
-    frame = df.select(*kept, text_bytes(text).alias("__text"), F.expr(f"cast(array() as {kind})").alias("leaks"))
+    lower = F.coalesce(F.lower(F.col(text)).cast("binary"), F.lit(b"")).alias("__text")
+    texts_of = df.select(lower)
+    frame = df.select(*kept, lower, F.expr(f"cast(array() as {kind})").alias("leaks"))
     ids, texts, size = [], [], 0
-    for row in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        ids.append(row.item_id)
-        texts.append(row.text)
-        size += len(row.text)
+    for row in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.lower("text").alias("text")).orderBy("item_id", "text").toLocalIterator():
+        for piece in pieces(row.text):
+            ids.append(row.item_id)
+            texts.append(piece)
+            size += len(piece)
         if size >= ITEM_BYTES:
             frame = search(frame, ids, texts)
             ids, texts, size = [], [], 0
