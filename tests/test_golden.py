@@ -199,25 +199,34 @@ def test_low_information_clusters_need_three_questions(spark):
     assert clusters.eligible(clusters.topic_clusters(units(spark, two_rich))).count() == 1
 
 
-def fingerprint(spark, rows, **options):
-    return {r["topic_key"]: r["fingerprint"] for r in clusters.cluster_fingerprints(units(spark, rows), **options).collect()}
+def fingerprint(spark, rows):
+    return {r["topic_key"]: r["fingerprint"] for r in clusters.cluster_fingerprints(units(spark, rows)).collect()}
+
+
+def plain_fingerprint(topic, members):
+    """Ranges of 10,000 ids, blocks of 10,000 ranges, then the whole."""
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    ranges, blocks = {}, {}
+    for kind, number in sorted(members):
+        ranges[kind, number // 10_000] = ranges.get((kind, number // 10_000), "") + f"|{number}"
+    for (kind, number), text in sorted(ranges.items()):
+        blocks[kind, number // 10_000] = blocks.get((kind, number // 10_000), "") + f"|{number}:{digest(text)}"
+    return digest(topic + "".join(f"|{kind}:{number}:{digest(text)}" for (kind, number), text in sorted(blocks.items())))
 
 
 def test_fingerprints_follow_membership(spark):
-    rows = [("segment", 10, "x", "Tea", None, None), ("original", 2, "x", "tea", None, None), ("original", 11, "x", "TEA", None, None)]
-    expected = hashlib.sha256(b"tea|original:2|original:11|segment:10").hexdigest()
+    members = [("segment", 10), ("original", 2), ("original", 11), ("original", 25_000), ("original", 3 * 10**8)]
+    rows = [(kind, number, "x", name, None, None) for (kind, number), name in zip(members, ("Tea", "tea", "TEA", "tea", "tea"))]
+    expected = plain_fingerprint("tea", members)
     assert fingerprint(spark, rows) == {"tea": expected} == fingerprint(spark, rows[::-1])
     assert fingerprint(spark, rows + [("segment", 12, "x", "tea", None, None)]) != {"tea": expected}
 
 
-def test_large_clusters_are_fingerprinted_in_chunks(spark):
-    big = [("original", i, "x", "Hot", None, None) for i in range(95)]
-    small = [("original", i, "x", "Cold", None, None) for i in range(100, 105)]
-    whole = fingerprint(spark, big + small)
-    chunked = fingerprint(spark, big + small, chunk_members=10)
-    assert chunked["cold"] == whole["cold"] and chunked["hot"] != whole["hot"]
-    assert chunked == fingerprint(spark, (big + small)[::-1], chunk_members=10)
-    assert chunked["hot"] != fingerprint(spark, big[1:], chunk_members=10)["hot"]
+def test_fingerprints_have_one_definition_at_every_size(spark):
+    members = [("original", 3 * i) for i in range(100_001)]
+    big = units(spark, [("original", 0, "x", "Hot", None, None)]).drop("entity_id").crossJoin(spark.range(100_001).select((F.col("id") * 3).alias("entity_id")))
+    got = clusters.cluster_fingerprints(big).first()["fingerprint"]
+    assert got == plain_fingerprint("hot", members)
 
 
 def test_sample_takes_each_question_first(spark):

@@ -57,3 +57,12 @@ def test_first_and_last_per_key(spark):
     for g in {r[0] for r in data}:
         times = [r[1] for r in data if r[0] == g]
         assert (firsts[g], lasts[g]) == (min(times), max(times))
+
+
+def test_first_rows_beyond_the_window_limit(spark):
+    data = rows(5, 6000)
+    df = spark.createDataFrame(data, "g string, t long, v long")
+    got = ordered.first_rows(df, ["g"], [F.desc("v"), F.col("t")], 1500).collect()
+    for g in {r[0] for r in data}:
+        mine = sorted((r for r in data if r[0] == g), key=lambda r: (-r[2], r[1]))[:1500]
+        assert [(r["v"], r["t"]) for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["rank"])] == [(r[2], r[1]) for r in mine]

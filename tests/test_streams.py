@@ -33,8 +33,9 @@ def test_inputs_stream_in_pieces(spark, tmp_path):
     assert done.count() == done.select("id").distinct().count() == docs.count()
     segments, ready = stages.new_segments(shaped)
     streamed = tables.read_stage(spark, out, "segments")
-    keys = ["id", "segment_text"]
+    keys = ["original_input_id", "segment_order", "segment_text"]
     assert {tuple(r) for r in streamed.select(*keys).collect()} == {tuple(r) for r in segments.select(*keys).collect()}
+    assert sorted(r["id"] for r in streamed.select("id").collect()) == list(range(1, segments.count() + 1))
     vectors = tables.read_stage(spark, out, "embeddings")
     assert vectors.count() == segments.count() + ready.count()
 
@@ -57,3 +58,10 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     for _ in range(2):
         tables.append_batch(rows, str(tmp_path), "s", 3)
     assert tables.read_stage(spark, str(tmp_path), "s").count() == 5
+
+
+def test_an_input_of_any_number_of_segments_gets_unique_ids(spark):
+    many = spark.createDataFrame([(1, "\n".join(f"line {n}" for n in range(100_003)), None), (2, "a\nb", None)], "id long, original_text string, question_id long")
+    segments, _ = stages.new_segments(many, 7)
+    assert segments.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()[:] == (100_005, 100_005, 7, 100_011)
+    assert segments.where("original_input_id = 2").agg(F.min("id")).first()[0] == 100_010

@@ -99,39 +99,38 @@ def distinct_questions(units: DataFrame) -> DataFrame:
     )
 
 
-def cluster_fingerprints(units: DataFrame, chunk_members: int = 100_000) -> DataFrame:
+IDS_PER_DIGEST = 10_000
+"""Part of the definition of a fingerprint: ids hashed as one range, and ranges hashed as one block."""
+
+
+def cluster_fingerprints(units: DataFrame) -> DataFrame:
     """(topic_key, fingerprint): a digest of the topic and its complete membership.
 
-    Up to ``chunk_members`` members it is the SHA-256 of the folded topic and ``|type:id`` of every
-    member in order.  A larger topic cannot be hashed as one string without one task holding it
-    all, so its members are split by hash into chunks of about that size and the fingerprint is
-    the SHA-256 over the chunk digests.  Either way equal members give equal fingerprints.
+    One definition for every size.  Members are hashed in ranges of IDS_PER_DIGEST ids of a type, the
+    ranges in blocks of as many, and the fingerprint is the SHA-256 of the folded topic and the
+    blocks.  Ranges are cut by id, never by count, so equal members give equal fingerprints, and no
+    task holds more of a topic than one range, one block, or one line for 10^8 ids.
     """
-    sizes = units.groupBy("topic_key").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > chunk_members).select(
-        "topic_key", F.ceil(F.col("_n") / chunk_members).alias("_chunks")
-    )
-    spread = units.select("topic_key", *MEMBER).join(large, "topic_key", "left").withColumn(
-        "_chunk",
-        F.when(F.col("_chunks").isNull(), F.lit(0).cast("long")).otherwise(
-            F.pmod(F.xxhash64(*MEMBER), F.col("_chunks"))
-        ),
-    )
-    member = F.transform(
-        F.array_sort(F.collect_list(F.struct(*MEMBER))),
-        lambda m: F.concat(F.lit("|"), m["entity_type"], F.lit(":"), m["entity_id"].cast("string")),
+    member = F.concat(F.lit("|"), F.col("entity_id").cast("string"))
+    ranges = _digests(
+        units.select("topic_key", *MEMBER, F.expr(f"entity_id div {IDS_PER_DIGEST}").alias("_range")),
+        ["topic_key", "entity_type", "_range"], "entity_id", member,
     )
-    chunks = spread.groupBy("topic_key", "_chunk").agg(
-        F.sha2(F.concat("topic_key", F.array_join(member, "")), 256).alias("_digest"),
-        F.max("_chunks").alias("_chunks"),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("_chunk", "_digest")))
-    parts = F.array_join(F.transform(ordered, lambda c: c["_digest"]), "|")
-    return chunks.groupBy("topic_key").agg(
-        F.when(F.max("_chunks").isNull(), F.min("_digest"))
-        .otherwise(F.sha2(F.concat("topic_key", F.lit("#"), parts), 256))
-        .alias("fingerprint")
+    line = F.concat(F.lit("|"), F.col("_range").cast("string"), F.lit(":"), F.col("_digest"))
+    blocks = _digests(
+        ranges.withColumn("_block", F.expr(f"_range div {IDS_PER_DIGEST}")),
+        ["topic_key", "entity_type", "_block"], "_range", line,
     )
+    line = F.concat(F.lit("|"), F.col("entity_type"), F.lit(":"), F.col("_block").cast("string"), F.lit(":"), F.col("_digest"))
+    lines = F.array_sort(F.collect_list(F.struct("entity_type", "_block", line.alias("line"))))
+    whole = F.array_join(F.transform(lines, lambda x: x["line"]), "")
+    return blocks.groupBy("topic_key").agg(F.sha2(F.concat("topic_key", whole), 256).alias("fingerprint"))
+
+
+def _digests(df: DataFrame, key: list[str], order: str, line: Column) -> DataFrame:
+    """SHA-256 of the lines of each key in order, as ``_digest``."""
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
+    return df.groupBy(*key).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256).alias("_digest"))
 
 
 def sample_evidence(units: DataFrame, limit: int = 5) -> DataFrame:

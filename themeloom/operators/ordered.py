@@ -93,14 +93,32 @@ def positions(
 def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], limit: int) -> DataFrame:
     """The first ``limit`` rows of each group with their 1-based rank.
 
-    ``limit`` is small and constant: Spark prunes to that many rows per group and task before
-    the shuffle (WindowGroupLimit), so a hot group ships few rows.
+    Spark prunes to that many rows per group and task before the shuffle (WindowGroupLimit), so a
+    hot group ships few rows, but only up to its own threshold.  Beyond that the rows are numbered
+    by ``positions``, which spreads a group over tasks; ``order`` may then hold no NULL.
     """
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if limit > threshold:
+        return _first_of_many(df, group, order, limit)
     window = Window.partitionBy(*group).orderBy(*order)
     ranked = df.withColumn("rank", F.row_number().over(window))
     return ranked.where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _first_of_many(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], limit: int) -> DataFrame:
+    """The same for any ``limit``, without a window over a group: rows are sorted by range, then numbered in pieces."""
+    by = [*[F.col(name) if isinstance(name, str) else name for name in group], *[F.col(x) if isinstance(x, str) else x for x in order]]
+    spread = cut_lineage(df.repartitionByRange(tasks(df.sparkSession), *by).withColumn(_PART, F.spark_partition_id()))
+    here = Window.partitionBy(_PART, *group).orderBy(*by[len(group):])
+    counts = spread.groupBy(_PART, *group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per partition continues a group of the partition before, as in ``scan``.
+    carry = counts.withColumn("_carry", F.sum("_n").over(before)).where(F.col("_carry").isNotNull()).drop("_n")
+    ranked = spread.withColumn("rank", F.row_number().over(here)).join(F.broadcast(carry), [_PART, *group], "left")
+    ranked = ranked.withColumn("rank", (F.coalesce("_carry", F.lit(0)) + F.col("rank")).cast("long"))
+    return ranked.where(F.col("rank") <= limit).select(*df.columns, "rank")
+
+
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One whole row per key, the lowest by ``order``; partial aggregation runs before the shuffle."""
     row = F.struct(*[F.col(name) for name in df.columns])

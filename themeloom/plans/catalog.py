@@ -288,8 +288,10 @@ def _units(spark, d, wording=False):
         rel.inputs(spark, d), rel.segments(spark, d), rel.questions(spark, d) if wording else None)
 
 
-FINGERPRINT = """SELECT topic_key, sha256(topic_key || string_agg('|' || entity_type || ':' || entity_id, '' ORDER BY entity_type, entity_id)) AS fingerprint
-FROM q_units GROUP BY topic_key"""
+FINGERPRINT = """SELECT topic_key, sha256(topic_key || string_agg('|' || entity_type || ':' || b || ':' || d, '' ORDER BY entity_type, b)) AS fingerprint FROM (
+  SELECT topic_key, entity_type, r // 10000 AS b, sha256(string_agg('|' || r || ':' || d, '' ORDER BY r)) AS d FROM (
+    SELECT topic_key, entity_type, entity_id // 10000 AS r, sha256(string_agg('|' || entity_id, '' ORDER BY entity_id)) AS d
+    FROM q_units GROUP BY 1, 2, 3) GROUP BY 1, 2, 3) GROUP BY topic_key"""
 ref.VIEWS["q_fingerprints"] = FINGERPRINT
 
 
@@ -888,12 +890,13 @@ def replay_pending(spark, d):
 
 
 @query("link_topics", """SELECT theme_id, arg_min(topic, input_id) AS topic FROM (
-  SELECT DISTINCT t.id AS theme_id, i.topic, i.id AS input_id FROM q_inputs i JOIN q_themes t ON t.id = 1 + i.id % 100 WHERE i.topic IS NOT NULL) o
+  SELECT DISTINCT t.id AS theme_id, i.topic, i.id AS input_id FROM q_inputs i JOIN q_themes t ON t.id = 1 + i.id % (SELECT count(*) + 5 FROM customer) WHERE i.topic IS NOT NULL) o
 WHERE NOT EXISTS (SELECT 1 FROM q_theme_topics l WHERE l.theme_id = o.theme_id AND lower(l.topic) = lower(o.topic))
 GROUP BY theme_id, lower(topic)""")
 def link_topics(spark, d):
+    count = rel.read(spark, d, "customer").count() + 5  # a few of the themes offered to do not exist
     offered = rel.inputs(spark, d).where("topic IS NOT NULL").select(
-        F.expr("1 + id % 100").alias("theme_id"), "topic", F.col("id").alias("input_id"))
+        F.expr(f"1 + id % {count}").alias("theme_id"), "topic", F.col("id").alias("input_id"))
     known = rel.themes(spark, d).select(F.col("id").alias("theme_id"))
     return theme_state.link_topics(
         rel.theme_topics(spark, d), offered.join(known, "theme_id", "left_semi"), ["input_id"])

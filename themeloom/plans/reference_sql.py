@@ -84,9 +84,9 @@ FROM (SELECT c_custkey + 1 AS id, c_mktsegment AS seg FROM customer)""",
 SELECT id AS theme_id, (CASE WHEN id % 3 = 0 THEN 'TOPIC ' ELSE 'topic ' END) || (id // 25) AS topic FROM q_themes
 UNION ALL
 SELECT id, 'src' || (id % 20) || ' ' || (CASE id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END)
-FROM q_themes WHERE id % 7 = 0 AND id <= 600
+FROM q_themes WHERE id % 7 = 0
 UNION ALL
-SELECT id, 'general' FROM q_themes WHERE id IN (20, 40, 61)""",
+SELECT id, 'general' FROM q_themes WHERE id % 500 IN (20, 40, 61)""",
     "q_paths": """
 SELECT id AS start_id, id, merged_into_id, [id] AS path FROM q_themes
 UNION ALL
@@ -106,10 +106,10 @@ SELECT id, CASE id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'reuse' WHEN 2 THEN 'update
   CASE WHEN id % 3 = 0 THEN {EPOCH} + to_hours(id) END AS materialized_at
 FROM (SELECT s_suppkey + 1 AS id FROM supplier)""",
     "q_evidence": """
-SELECT 1 + id % 97 AS suggestion_id, id AS original_input_id, NULL::BIGINT AS segment_input_id
+SELECT 1 + id % (SELECT count(*) FROM supplier) AS suggestion_id, id AS original_input_id, NULL::BIGINT AS segment_input_id
 FROM q_inputs WHERE topic IS NOT NULL
 UNION ALL
-SELECT 1 + id % 89, NULL, id FROM q_segments WHERE topic IS NOT NULL""",
+SELECT 1 + id % (SELECT count(*) + 8 FROM supplier), NULL, id FROM q_segments WHERE topic IS NOT NULL""",
     "q_attempts": """
 SELECT event_id, ts, event_type, user_id AS original_input_id,
   CASE CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 WHEN 0 THEN 'eligibility_segmentation'

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions import text as tx
-from themeloom.streaming.stages import SEGMENTS_PER_INPUT
 
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
 AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -73,7 +72,7 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
         .select("doc_id", lines.alias("_l")).where(usable)
         .select("doc_id", F.posexplode("_l").alias("segment_order", "segment_text"))
         .select(
-            (F.col("doc_id") * SEGMENTS_PER_INPUT + F.col("segment_order")).alias("id"),
+            (F.col("doc_id") * 100_000 + F.col("segment_order")).alias("id"),
             F.col("doc_id").alias("original_input_id"),
             F.col("segment_order").cast("long").alias("segment_order"),
             "segment_text", F.expr(topic).alias("topic"),
@@ -147,9 +146,9 @@ def theme_topics(spark: SparkSession, folder: str) -> DataFrame:
     """One to three topics per theme, from a single pass."""
     links = """array_compact(array(
         concat(CASE WHEN id % 3 = 0 THEN 'TOPIC ' ELSE 'topic ' END, CAST((id - id % 25) / 25 AS BIGINT)),
-        CASE WHEN id % 7 = 0 AND id <= 600 THEN concat('src', id % 20, ' ',
+        CASE WHEN id % 7 = 0 THEN concat('src', id % 20, ' ',
             CASE id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END) END,
-        CASE WHEN id IN (20, 40, 61) THEN 'general' END))"""
+        CASE WHEN id % 500 IN (20, 40, 61) THEN 'general' END))"""
     return themes(spark, folder).select(F.col("id").alias("theme_id"), F.explode(F.expr(links)).alias("topic"))
 
 
@@ -173,12 +172,13 @@ def suggestions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
-    none = F.lit(None).cast("long")
+    """Evidence for every suggestion, and for some that do not exist."""
+    none, count = F.lit(None).cast("long"), read(spark, folder, "supplier").count()
     own = inputs(spark, folder).where("topic IS NOT NULL").select(
-        F.expr("1 + id % 97").alias("suggestion_id"), F.col("id").alias("original_input_id"), none.alias("segment_input_id")
+        F.expr(f"1 + id % {count}").alias("suggestion_id"), F.col("id").alias("original_input_id"), none.alias("segment_input_id")
     )
     pieces = segments(spark, folder).where("topic IS NOT NULL").select(
-        F.expr("1 + id % 89").alias("suggestion_id"), none.alias("original_input_id"), F.col("id").alias("segment_input_id")
+        F.expr(f"1 + id % {count + 8}").alias("suggestion_id"), none.alias("original_input_id"), F.col("id").alias("segment_input_id")
     )
     return own.union(pieces)
 
