@@ -28,7 +28,7 @@ FOLLOWERS = 20_000
 """Verdicts remembered for a token; beyond it they are worked out anew, with the same results."""
 LOOKAHEAD = 4096
 """Bytes after which tokens that nothing can change any more are emitted, whatever the length of the pre-token."""
-CHUNKS = 200_000
+CHUNKS = 100_000
 """Encoded chunks that a worker remembers; beyond it they are forgotten, with the same results."""
 
 # A blank between two characters that are no white space always starts a match, so texts can be cut there.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from themeloom.session import configure
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 """Bytes of text that a task turns into arrays at a time."""
 
 WHITE = np.zeros(256, bool)
@@ -49,6 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             blob = np.frombuffer(b"".join(x or b"" for x in part.column(column).to_pylist()), np.uint8)
             yield part, blob, np.concatenate(([0], ends[first:last] - base))
             first = last
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks and share an executor's memory
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ BLOCK = 256
 """Sets that a task compares with each other at a time in a large group."""
 PIVOTS = 16
 """Sets of a large group that are compared with all others first."""
-KEYS = 4_000_000
+KEYS = 2_000_000
 """Keys that a task gathers before it sends them on."""
 SEEDS = 12
 BY_CHANCE = 50.0
