@@ -26,7 +26,7 @@ def one(spark, column):
 # ---- text and vectors
 
 @pytest.mark.parametrize("text,low", [
-    (" No ", True), ("Price", True), ("123456789012345", False), ("A detailed response", False),
+    (" nO ", True), ("Colour", True), ("abcdefghijklmno", False), ("It rained for three days", False),
     (" UNSURE ", True), ("12345678901234", True), ("éééééééééééééé", True), ("ééééééééééééééé", False),
 ])
 def test_low_information(spark, text, low):
@@ -50,9 +50,9 @@ def test_strip_equals_python(spark):
 
 
 def test_embedding_text(spark):
-    question = F.lit("Did you complete your purchase?")
-    assert one(spark, tx.embedding_input(F.lit("No"), question)) == "Question: Did you complete your purchase?\nAnswer: No"
-    assert one(spark, tx.embedding_input(F.lit("No"), F.lit(None).cast("string"))) == "No"
+    question = F.lit("Where did the train stop?")
+    assert one(spark, tx.embedding_input(F.lit("Halfway"), question)) == "Question: Where did the train stop?\nAnswer: Halfway"
+    assert one(spark, tx.embedding_input(F.lit("Halfway"), F.lit(None).cast("string"))) == "Halfway"
 
 
 @pytest.mark.parametrize("text,found", [('```json\n{"a": 1}\n```', '{"a": 1}'), ('["a"]', None), ("} {", None)])
@@ -150,10 +150,10 @@ def test_embedding_batches_keep_order_and_size(spark):
 
     def provider(texts):
         assert len(texts) <= 16
-        return providers.hash_embedder(texts)
+        return providers.letter_counter(texts)
 
     for row in providers.embed(df, "m", provider).collect():
-        expected = [b / 255 for b in hashlib.sha256(row["text"].encode()).digest()[:8]]
+        expected = [1.0 + row["text"].count(letter) for letter in providers.LETTERS]
         assert row["embedding"] == pytest.approx(expected, abs=1e-6) and row["embedding_model"] == "m"
 
 
@@ -324,14 +324,16 @@ def test_offered_themes_are_relevant_then_recent(spark):
     assert [r["theme_id"] for r in got if r["topic_key"] == "rum"] == [8, 7, 6, 5]
 
 
-def test_long_contexts_are_handed_back_whole(spark):
+def test_long_contexts_come_in_pieces(spark):
     context = spark.createDataFrame(
         [("a", "topic", 0, "A"), ("a", "member_count", 0, "2"), ("a", "evidence", 0, "x"), ("b", "topic", 0, "B"), ("b", "member_count", 0, "3")]
         + [("b", "question", i, f"q{i}") for i in range(9)], "topic_key string, part string, pos long, item string")
-    prompts, oversized = themes.theme_prompts(context, max_items=5)
-    body = json.loads(prompts.first()["prompt"])
-    assert body == {"topic": "A", "questions": [], "sample_evidence": ["x"], "member_count": 2, "existing_themes": []}
-    assert [(r["topic_key"], r["items"]) for r in oversized.collect()] == [("b", 11)]
+    bodies = {(r["prompt_id"], r["piece"]): json.loads(r["prompt"]) for r in themes.theme_prompts(context, piece_items=4).collect()}
+    assert bodies["a", 0] == {
+        "topic": "A", "questions": [], "sample_evidence": ["x"], "member_count": 2, "existing_themes": [], "theme_topics": []}
+    assert sorted(bodies) == [("a", 0), ("b", 0), ("b", 1), ("b", 2)] and bodies["b", 0]["topic"] == "B"
+    asked = [q["question_text"] for n in range(3) for q in bodies["b", n]["questions"]]
+    assert asked == [f"q{i}" for i in range(9)]
 
 
 # ---- read models

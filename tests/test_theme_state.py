@@ -124,19 +124,19 @@ def test_a_much_changed_theme_takes_few_rounds(spark):
 
 
 def test_merge_takes_the_name_of_a_loser(spark):
-    themes = [theme(1, "Purchasing"), theme(2, "Buying Journey"), theme(3, "Old", 2)]
-    links = [(1, "Price"), (2, "price"), (2, "Checkout"), (2, "Delivery")]
-    suggestions = [(1, "merge", "Buying Journey", "d", [2, 1], ["Price"], None)]
+    themes = [theme(1, "Rivers"), theme(2, "Lakes and Rivers"), theme(3, "Old", 2)]
+    links = [(1, "Flood"), (2, "flood"), (2, "Depth"), (2, "Fish")]
+    suggestions = [(1, "merge", "Lakes and Rivers", "d", [2, 1], ["Flood"], None)]
     check(spark, themes, links, suggestions)
     out = run(spark, themes, links, suggestions)
     rows = {r["id"]: (r["name"], r["merged_into_id"]) for r in out.state.themes.collect()}
-    assert rows == {1: ("Buying Journey", None), 2: ("Buying Journey [merged #2]", 1), 3: ("Old", 1)}
+    assert rows == {1: ("Lakes and Rivers", None), 2: ("Lakes and Rivers [merged #2]", 1), 3: ("Old", 1)}
     assert out.state.theme_topics.where("theme_id = 1").count() == 3
 
 
 def test_new_theme_with_a_live_name_links_and_keeps_its_description(spark):
-    themes = [theme(4, "Purchasing")]
-    check(spark, themes, [], [(1, "new", "purchasing", "other", [], ["Price"], None)])
+    themes = [theme(4, "Rivers")]
+    check(spark, themes, [], [(1, "new", "rivers", "other", [], ["Flood"], None)])
 
 
 def test_replaying_applies_once(spark):

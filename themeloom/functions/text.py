@@ -75,7 +75,7 @@ def low_information(
     nearly every row without folding a long text."""
     stripped = strip(text)
     short = F.char_length(stripped) < max_chars
-    values = sorted({value.strip().casefold() for value in closed_form if value.strip()})
+    values = sorted(closed_form)
     if not values:
         return short
     longest = max(len(value) for value in values)

@@ -371,13 +371,13 @@ def merge_components(spark, d):
 
 # ---- aggregations -----------------------------------------------------------------------------
 
-USAGE = """SELECT topic, count(*) AS usage_count FROM (
-  SELECT topic FROM q_inputs UNION ALL SELECT topic FROM q_segments)
-WHERE topic IS NOT NULL AND trim(topic) <> '' GROUP BY topic"""
+USAGE = """SELECT topic, sum(n) AS usage_count FROM (
+  SELECT topic, count(*) AS n FROM q_segments GROUP BY ALL UNION ALL SELECT topic, count(*) FROM q_inputs GROUP BY ALL)
+GROUP BY topic HAVING length(trim(topic)) > 0"""
 ref.VIEWS["q_usage"] = USAGE
 
 
-@query("topic_usage", "SELECT topic, usage_count FROM q_usage")
+@query("topic_usage", "SELECT topic, CAST(usage_count AS BIGINT) AS usage_count FROM q_usage")
 def topic_usage(spark, d):
     return topics.topic_usage(rel.inputs(spark, d), rel.segments(spark, d))
 
@@ -657,10 +657,22 @@ def topic_context(spark, d):
         F.coalesce(F.array_join(listed, ","), F.lit("")).alias("listed"))
 
 
-@query("topic_prompts")
+TOPIC_PROMPT = """targets array<struct<kind: string, id: bigint, text: string, question_text: string, similar_segments: array<struct<
+  segment_id: bigint, text: string, topic: string, similarity: double, scope: string>>>>, existing_topics array<string>"""
+
+
+@query("topic_prompts", """SELECT v.original_input_id AS prompt_id, 'segment' AS kind, v.segment_id AS entity_id, v.segment_text AS text,
+  CASE WHEN v.question_id IS NOT NULL THEN 'Question ' || v.question_id END AS question_text, o.offered,
+  coalesce(string_agg(t.segment_id || ':' || t.topic || ':' || t.scope || ':' || e.segment_text, '|' ORDER BY t.rank), '') AS similar
+FROM q_vectors v JOIN (SELECT input_id, string_agg(topic, '|' ORDER BY pos) AS offered FROM q_offers GROUP BY 1) o ON o.input_id = v.original_input_id
+LEFT JOIN q_tiered t ON t.target_id = v.segment_id LEFT JOIN q_vectors e ON e.segment_id = t.segment_id GROUP BY ALL""")
 def topic_prompts(spark, d):
-    offers = _offers(spark, d)
-    return topics.topic_prompts(_vector_context(spark, d), offers)
+    """Prompts read back into one row for each target."""
+    prompts = topics.topic_prompts(_vector_context(spark, d), _offers(spark, d))
+    rows = prompts.select("prompt_id", F.from_json("prompt", TOPIC_PROMPT).alias("p")).select("prompt_id", F.explode("p.targets").alias("t"), "p.existing_topics")
+    similar = F.transform("t.similar_segments", lambda s: F.concat_ws(":", s["segment_id"].cast("string"), s["topic"], s["scope"], s["text"]))
+    return rows.select("prompt_id", "t.kind", F.col("t.id").alias("entity_id"), "t.text", "t.question_text",
+                       F.array_join("existing_topics", "|").alias("offered"), F.array_join(similar, "|").alias("similar"))
 
 
 def _topic_responses(spark, d):
@@ -711,11 +723,15 @@ def topic_decisions(spark, d):
     return good.union(bad)
 
 
-@query("topic_vote", """SELECT target_id, topic, score FROM (
+VOTES = """SELECT target_id, topic, score FROM (
   SELECT target_id, topic, round(sum(s), 6) AS score, row_number() OVER (
     PARTITION BY target_id ORDER BY round(sum(s), 9) DESC, lower(topic)) AS rank
   FROM (SELECT t.target_id, t.topic, 1 - p.distance AS s FROM q_tiered t
-        JOIN q_pairs p ON p.target_id = t.target_id AND p.segment_id = t.segment_id) GROUP BY target_id, topic) WHERE rank = 1""")
+        JOIN q_pairs p ON p.target_id = t.target_id AND p.segment_id = t.segment_id) GROUP BY target_id, topic) WHERE rank = 1"""
+ref.VIEWS["q_votes"] = VOTES
+
+
+@query("topic_vote", "SELECT target_id, topic, score FROM q_votes")
 def topic_vote(spark, d):
     found = neighbors.knn_evidence(rel.vector_targets(spark, d), rel.vector_evidence(spark, d), 5)
     return neighbors.topic_vote(found).select("target_id", "topic", F.round("score", 6).alias("score"))
@@ -733,22 +749,43 @@ ELIGIBLE = "(rich_member_count >= 2 OR (rich_member_count = 0 AND distinct_quest
 ref.VIEWS["q_eligible"] = f"SELECT * FROM q_clusters WHERE {ELIGIBLE}"
 
 
-@query("theme_context", """SELECT topic_key, 'topic' AS part, 0::BIGINT AS pos, topic_name AS item FROM q_eligible
+CONTEXT = """SELECT topic_key, 'topic' AS part, 0::BIGINT AS pos, topic_name AS item FROM q_eligible
 UNION ALL SELECT topic_key, 'member_count', 0, member_count::VARCHAR FROM q_eligible
 UNION ALL SELECT topic_key, 'question', row_number() OVER (PARTITION BY topic_key ORDER BY f) - 1, question_text
   FROM (SELECT topic_key, question_text, min((entity_type, entity_id)) AS f FROM q_units JOIN q_eligible USING (topic_key)
         WHERE question_id IS NOT NULL AND question_text IS NOT NULL GROUP BY 1, 2)
 UNION ALL SELECT topic_key, 'evidence', pos - 1, text FROM q_samples JOIN q_eligible USING (topic_key)
 UNION ALL SELECT topic_key, 'existing_theme', rank - 1,
-  '{"id":' || theme_id || ',"name":"' || name || '","description":"' || description || '"}' FROM q_ranked JOIN q_eligible USING (topic_key)""")
+  '{"id":' || theme_id || ',"name":"' || name || '","description":"' || description || '"}' FROM q_ranked JOIN q_eligible USING (topic_key)
+UNION ALL SELECT r.topic_key, 'theme_topic', row_number() OVER (PARTITION BY r.topic_key ORDER BY r.rank, lower(l.topic), l.topic) - 1,
+  '{"id":' || r.theme_id || ',"topic":"' || l.topic || '"}' FROM q_ranked r JOIN q_eligible USING (topic_key) JOIN q_theme_topics l USING (theme_id)"""
+ref.VIEWS["q_context"] = CONTEXT
+
+
+@query("theme_context", "SELECT topic_key, part, pos, item FROM q_context")
 def theme_context(spark, d):
     units, found, offered = _theme_inputs(spark, d, wording=True)
-    return themes.theme_context(found, clusters.distinct_questions(units), clusters.sample_evidence(units), offered)
+    return themes.theme_context(
+        found, clusters.distinct_questions(units), clusters.sample_evidence(units), offered, rel.theme_topics(spark, d))
+
+
+PROMPT = """topic string, questions array<struct<question_text: string>>, sample_evidence array<string>, member_count bigint,
+  existing_themes array<struct<id: bigint, name: string, description: string>>, theme_topics array<struct<id: bigint, topic: string>>"""
 
 
-@query("theme_prompts")
+@query("theme_prompts", """SELECT topic_key AS prompt_id, CASE WHEN part IN ('question', 'theme_topic') THEN pos // 3 ELSE 0 END AS piece, part,
+  CASE WHEN part IN ('question', 'theme_topic') THEN pos % 3 ELSE pos END AS place, item FROM q_context""")
 def theme_prompts(spark, d):
-    return themes.theme_prompts(theme_context(spark, d)).prompts
+    """Prompts in pieces of three questions or topics, read back into rows."""
+    read = themes.theme_prompts(theme_context(spark, d), 3).select("prompt_id", "piece", F.from_json("prompt", PROMPT).alias("p"))
+    json = lambda items: F.transform(items, lambda x: F.to_json(x, {"ignoreNullFields": "false"}))
+    one = lambda item: F.when(item.isNotNull(), F.array(item.cast("string")))
+    parts = F.create_map(*[part for name, items in (
+        ("topic", one(F.col("p.topic"))), ("member_count", one(F.col("p.member_count"))), ("question", F.col("p.questions.question_text")),
+        ("evidence", F.col("p.sample_evidence")), ("existing_theme", json(F.col("p.existing_themes"))), ("theme_topic", json(F.col("p.theme_topics"))),
+    ) for part in (F.lit(name), items)])
+    return read.select("prompt_id", "piece", F.explode(parts).alias("part", "items")).select(
+        "prompt_id", "piece", "part", F.posexplode("items").alias("place", "item")).withColumn("place", F.col("place").cast("long"))
 
 
 def _theme_responses(found, offered):
@@ -983,11 +1020,15 @@ def suggestion_status(spark, d):
     return reports.suggestion_status(rel.suggestions(spark, d)).withColumn("materialized_at", stamp("materialized_at"))
 
 
-@query("answer_topic_theme_chain", """SELECT DISTINCT q.source, q.form_key, q.question_key, q.question_version, i.submission_key, i.id AS answer_id,
-  i.original_text, a.topic, t.id AS theme_id, t.name AS theme_name
-FROM q_inputs i LEFT JOIN q_questions q ON q.id = i.question_id LEFT JOIN q_input_topics a ON a.input_id = i.id
-LEFT JOIN q_theme_topics l ON lower(l.topic) = lower(a.topic) LEFT JOIN q_roots r ON r.theme_id = l.theme_id
-LEFT JOIN q_themes t ON t.id = r.root_id""")
+# Where the links of a topic end: live themes, or nothing for those whose theme leads nowhere.
+ref.VIEWS["q_ends"] = """SELECT topic_key, theme_id, name AS theme_name FROM q_topic_themes
+UNION SELECT lower(topic), NULL, NULL FROM q_theme_topics WHERE theme_id NOT IN (SELECT theme_id FROM q_roots)"""
+ref.VIEWS["q_said"] = "SELECT input_id, topic, theme_id, theme_name FROM q_input_topics LEFT JOIN q_ends ON topic_key = lower(topic)"
+
+
+@query("answer_topic_theme_chain", """SELECT source, form_key, question_key, question_version, submission_key, id AS answer_id, original_text, topic, theme_id, theme_name
+FROM (SELECT i.id, i.original_text, i.submission_key, q.source, q.form_key, q.question_key, q.question_version
+      FROM q_inputs i LEFT JOIN q_questions q ON i.question_id = q.id) LEFT JOIN q_said ON input_id = id""")
 def answer_topic_theme_chain(spark, d):
     base, links = rel.themes(spark, d), rel.theme_topics(spark, d)
     linked = reports.linked_or_dead(base, links, graph.resolve_roots(base))
@@ -1179,32 +1220,44 @@ def requeue_failed(spark, d):
 
 
 @query("embed_texts", """SELECT entity_type, entity_id, embedding_representation,
-  array_to_string([('0x' || substr(h, 2 * i - 1, 2))::INTEGER FOR i IN range(1, 9)], ',') AS vector
+  array_to_string([1 + length(sent) - length(replace(sent, letter, '')) FOR letter IN ['e', 't', 'a', 'o', 'i', 'n', 's', 'r']], ',') AS vector
 FROM (SELECT entity_type, entity_id, CASE WHEN question_text IS NULL THEN 'answer-only' ELSE 'question-answer' END AS embedding_representation,
-  sha256(CASE WHEN question_text IS NULL THEN text ELSE 'Question: ' || question_text || chr(10) || 'Answer: ' || text END) AS h FROM q_targets)""")
+  CASE WHEN question_text IS NULL THEN text ELSE 'Question: ' || question_text || chr(10) || 'Answer: ' || text END AS sent FROM q_targets)""")
 def embed_texts(spark, d):
     """Whole texts through the embedding provider, 16 at a time."""
     texts = seg.embedding_inputs(rel.inputs(spark, d), rel.segments(spark, d), rel.questions(spark, d))
     done = providers.embed(texts, "offline")
-    shown = F.transform("embedding", lambda x: F.round(x.cast("double") * 255).cast("int").cast("string"))
+    shown = F.transform("embedding", lambda x: x.cast("int").cast("string"))
     return done.select("entity_type", "entity_id", "embedding_representation", F.array_join(shown, ",").alias("vector"))
 
 
-@query("decision_provider")
+@query("decision_provider", f"""SELECT id::VARCHAR AS prompt_id, 'eligible' AS action, NULL AS name, CASE WHEN len(ls) >= 2 AND len(list_distinct(ls)) = len(ls)
+    THEN array_to_string(ls, '|') ELSE '' END AS listed FROM q_inputs JOIN q_lines ON doc_id = id
+UNION ALL SELECT topic_key, CASE WHEN theme_id IS NULL THEN 'new' ELSE 'reuse' END, coalesce(r.name, topic_name), topic_name || '|' || coalesce(theme_id::VARCHAR, '')
+FROM q_eligible LEFT JOIN (SELECT topic_key, theme_id, name FROM q_ranked WHERE rank = 1 AND relevance > 0) r USING (topic_key)""")
 def decision_provider(spark, d):
-    """Offline choices in place of a model: segmentation of every input and themes of every cluster."""
-    split = providers.split_lines(rel.inputs(spark, d)).select(F.col("input_id").cast("string").alias("prompt_id"), "response")
+    """Offline choices in place of a model, read back: segmentation of every input and themes of every cluster."""
+    split = providers.split_lines(rel.inputs(spark, d)).withColumn("r", F.from_json("response", "eligible boolean, segments array<string>"))
     _, found, offered = _theme_inputs(spark, d)
-    return split.union(providers.suggest_themes(found, offered))
+    chosen = providers.suggest_themes(found, offered).withColumn(
+        "r", F.from_json("response", "action string, existing_theme_ids array<bigint>, proposed_name string, topics array<string>"))
+    ids = F.array_join(F.transform("r.existing_theme_ids", lambda x: x.cast("string")), ",")
+    return split.select(
+        F.col("input_id").cast("string").alias("prompt_id"), F.when(F.col("r.eligible"), "eligible").alias("action"),
+        F.lit(None).cast("string").alias("name"), F.array_join("r.segments", "|").alias("listed"),
+    ).union(chosen.select("topic_key", "r.action", "r.proposed_name", F.concat(F.array_join("r.topics", "|"), F.lit("|"), ids)))
 
 
-@query("vote_provider")
+@query("vote_provider", """SELECT v.original_input_id AS input_id, v.segment_id, coalesce(w.topic, 'Unsorted') AS name, w.topic IS NOT NULL AS reused
+FROM q_vectors v LEFT JOIN q_votes w ON w.target_id = v.segment_id""")
 def vote_provider(spark, d):
-    """Offline topic responses of every embedded input, from the votes of its neighbours."""
+    """Offline topic responses of every embedded input, from the votes of its neighbours, read back."""
     asked = rel.vector_targets(spark, d)
     votes = neighbors.topic_vote(neighbors.knn_evidence(asked, rel.vector_evidence(spark, d), 5))
     named = asked.withColumnsRenamed({"target_type": "entity_type", "target_id": "entity_id"})
-    return providers.vote_topics(named, votes)
+    kind = "segment_topics array<struct<segment_id: bigint, topic: struct<name: string, reused_existing: boolean>>>"
+    rows = providers.vote_topics(named, votes).select("input_id", F.explode(F.from_json("response", kind)["segment_topics"]).alias("s"))
+    return rows.select("input_id", "s.segment_id", "s.topic.name", F.col("s.topic.reused_existing").alias("reused"))
 
 
 @query("stream_retry_state", RETRY_STATE)

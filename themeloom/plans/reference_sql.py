@@ -87,12 +87,10 @@ SELECT id, 'src' || (id % 20) || ' ' || (CASE id % 4 WHEN 0 THEN 'en' WHEN 1 THE
 FROM q_themes WHERE id % 7 = 0
 UNION ALL
 SELECT id, 'general' FROM q_themes WHERE id % 500 IN (20, 40, 61)""",
-    "q_paths": """
-SELECT id AS start_id, id, merged_into_id, [id] AS path FROM q_themes
+    "q_roots": """
+SELECT id AS theme_id, id AS root_id FROM q_themes WHERE merged_into_id IS NULL
 UNION ALL
-SELECT p.start_id, t.id, t.merged_into_id, list_append(p.path, t.id)
-FROM q_paths p JOIN q_themes t ON t.id = p.merged_into_id WHERE NOT list_contains(p.path, t.id)""",
-    "q_roots": "SELECT start_id AS theme_id, id AS root_id FROM q_paths WHERE merged_into_id IS NULL",
+SELECT alias.id, q_roots.root_id FROM q_roots JOIN q_themes alias ON alias.merged_into_id = q_roots.theme_id""",
     "q_suggestions": f"""
 SELECT id, CASE id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'reuse' WHEN 2 THEN 'update' ELSE 'merge' END AS action,
   CASE WHEN id % 10 = 4 THEN 'THEME ' || (4 * id) WHEN id % 10 = 6 THEN 'theme ' || id
