@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions.text import casefold, low_information
-from themeloom.operators.ordered import first_rows, positions
+from themeloom.operators.ordered import first_rows, left_join_spread, positions
 
 MEMBER = ["entity_type", "entity_id"]
 
@@ -36,7 +36,7 @@ def analysis_units(inputs: DataFrame, segments: DataFrame, questions: DataFrame
     if questions is None:
         return units
     wording = questions.select(F.col("id").alias("question_id"), "question_text")
-    return units.join(wording, "question_id", "left")
+    return left_join_spread(units, wording, "question_id", MEMBER)
 
 
 def first_member(df: DataFrame, *keys: str | Column, **aggregates: Column) -> DataFrame:

@@ -119,6 +119,17 @@ def _first_of_many(df: DataFrame, group: Sequence[str], order: Sequence[Column |
     return ranked.where(F.col("rank") <= limit).select(*df.columns, "rank")
 
 
+def left_join_spread(df: DataFrame, dimension: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+    """A left join on ``key`` in which rows whose key is NULL are dealt out by ``spread``.
+
+    They match nothing, so all that matters is that they do not all go to the task of NULL.
+    """
+    known = F.col(key).isNotNull()
+    left = df.withColumns({"_known": known, "_at": F.coalesce(F.col(key).cast("long"), F.xxhash64(*spread))})
+    right = dimension.withColumnRenamed(key, "_at").withColumn("_known", F.lit(True))
+    return left.join(right, ["_known", "_at"], "left").drop("_known", "_at")
+
+
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One whole row per key, the lowest by ``order``; partial aggregation runs before the shuffle."""
     row = F.struct(*[F.col(name) for name in df.columns])

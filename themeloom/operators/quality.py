@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +76,9 @@ def row_rules() -> dict[str, dict[str, Column]]:
             "fingerprint_valid": ~F.coalesce(F.col("group_fingerprint").rlike("^[0-9a-f]{64}$"), F.lit(False)),
             "materialization_consistent": _both_or_none("materialized_theme_id", "materialized_at"),
         },
+        "suggestion_topics": {
+            "topic_valid": _blank("topic") | (F.char_length("topic") > schema.MAX_NAME),
+        },
         "evidence": {
             "one_target": ~_both_or_none("original_input_id", "segment_input_id"),
         },
@@ -89,17 +94,20 @@ def row_rules() -> dict[str, dict[str, Column]]:
 
 # table -> rule -> unique columns; ``lower:`` compares case-insensitively.
 UNIQUE: dict[str, dict[str, Sequence[str]]] = {
-    "questions": {"identity_unique": ["source", "form_key", "question_key", "question_version"]},
-    "segments": {"position_unique": ["original_input_id", "segment_order"]},
-    "embeddings": {"original_unique": ["original_input_id"], "segment_unique": ["segment_input_id"]},
-    "themes": {"name_unique": ["lower:name"]},
+    "questions": {"id_unique": ["id"], "identity_unique": ["source", "form_key", "question_key", "question_version"]},
+    "inputs": {"id_unique": ["id"]},
+    "segments": {"id_unique": ["id"], "position_unique": ["original_input_id", "segment_order"]},
+    "embeddings": {"id_unique": ["id"], "original_unique": ["original_input_id"], "segment_unique": ["segment_input_id"]},
+    "themes": {"id_unique": ["id"], "name_unique": ["lower:name"]},
     "theme_topics": {"link_unique": ["theme_id", "lower:topic"]},
-    "suggestions": {"fingerprint_unique": ["group_fingerprint"]},
+    "suggestions": {"id_unique": ["id"], "fingerprint_unique": ["group_fingerprint"]},
+    "suggestion_themes": {"link_unique": ["suggestion_id", "theme_id"]},
+    "suggestion_topics": {"link_unique": ["suggestion_id", "lower:topic"]},
     "evidence": {
         "original_unique": ["suggestion_id", "original_input_id"],
         "segment_unique": ["suggestion_id", "segment_input_id"],
     },
-    "jobs": {"input_stage_unique": ["job_type", "original_input_id"]},
+    "jobs": {"id_unique": ["id"], "input_stage_unique": ["job_type", "original_input_id"]},
 }
 
 # table -> column -> table it refers to.
@@ -110,6 +118,8 @@ REFERENCES: dict[str, dict[str, str]] = {
     "themes": {"merged_into_id": "themes"},
     "theme_topics": {"theme_id": "themes"},
     "suggestions": {"materialized_theme_id": "themes"},
+    "suggestion_themes": {"suggestion_id": "suggestions", "theme_id": "themes"},
+    "suggestion_topics": {"suggestion_id": "suggestions"},
     "evidence": {"suggestion_id": "suggestions", "original_input_id": "inputs", "segment_input_id": "segments"},
     "jobs": {"original_input_id": "inputs"},
 }
@@ -122,39 +132,70 @@ def _key(column: str) -> Column:
 def constraint_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, rule, violations) for every rule of the given tables.
 
-    Row rules of a table share one pass.  Unique rules count the rows beyond the first of a key;
-    keys holding NULL are exempt.  References are anti-joins on the ids alone.
+    A table is read once for its row rules and its ids that must be there, once for its unique rules,
+    and once for each table it refers to.  Unique rules count the rows beyond the first of a key; keys
+    holding NULL are exempt.  References to one table, from wherever, share one anti-join on the ids.
     """
     parts: list[DataFrame] = []
     rules = row_rules()
     for table, df in tables.items():
-        checks = rules.get(table, {})
+        checks = dict(rules.get(table, {}))
+        if "id_unique" in UNIQUE.get(table, {}):
+            checks["id_present"] = F.col("id").isNull()
         if checks:
             sums = [F.coalesce(F.sum(F.when(bad, 1)), F.lit(0)).cast("long").alias(rule) for rule, bad in checks.items()]
             entries = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("violations")) for rule in checks])
             parts.append(
                 df.agg(*sums).select(F.lit(table).alias("table_name"), F.inline(entries))
             )
-        for rule, columns in UNIQUE.get(table, {}).items():
-            keys = df.select(*[_key(column).alias(f"k{i}") for i, column in enumerate(columns)]).dropna()
-            extra = keys.groupBy(*keys.columns).agg((F.count(F.lit(1)) - 1).alias("extra"))
-            parts.append(extra.agg(
-                F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                F.coalesce(F.sum("extra"), F.lit(0)).cast("long").alias("violations"),
-            ))
-        for column, parent in REFERENCES.get(table, {}).items():
-            if parent not in tables:
-                continue
+        unique = UNIQUE.get(table, {})
+        if unique:
+            keys = F.array(*[
+                F.struct(F.lit(rule).alias("rule"), F.when(
+                    reduce(and_, [F.col(column.removeprefix("lower:")).isNotNull() for column in columns]),
+                    F.to_json(F.struct(*[_key(column).alias(f"k{i}") for i, column in enumerate(columns)])),
+                ).alias("key")) for rule, columns in unique.items()
+            ])
+            extra = df.select(F.inline(keys)).where(F.col("key").isNotNull()).groupBy("rule", "key").agg((F.count(F.lit(1)) - 1).alias("extra"))
+            parts.append(_listed(extra.groupBy("rule").agg(F.sum("extra").alias("violations")), [(table, rule) for rule in unique], table))
+    for parent in tables:
+        named, refs = [], []
+        for table, columns in REFERENCES.items():
+            own = [column for column, to in columns.items() if to == parent]
+            if table in tables and own:
+                named += [(table, f"{column}_exists") for column in own]
+                refs.append(tables[table].select(F.inline(F.array(*[
+                    F.struct(F.lit(f"{table}.{column}_exists").alias("rule"), F.col(column).cast("long").alias("ref")) for column in own
+                ]))))
+        if refs:
             ids = tables[parent].select(F.col("id").alias("ref"))
-            orphans = df.where(F.col(column).isNotNull()).select(F.col(column).alias("ref")).join(ids, "ref", "left_anti")
-            parts.append(orphans.agg(
-                F.lit(table).alias("table_name"), F.lit(f"{column}_exists").alias("rule"),
-                F.count(F.lit(1)).alias("violations"),
-            ))
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+            orphans = reduce(DataFrame.unionByName, refs).where(F.col("ref").isNotNull()).join(ids, "ref", "left_anti")
+            parts.append(_listed(orphans.groupBy("rule").agg(F.count(F.lit(1)).alias("violations")), named, None))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _listed(found: DataFrame, rules: list[tuple[str, str]], table: str | None) -> DataFrame:
+    """The violations of every rule, 0 where none was found; without ``table`` rules are named table.rule."""
+    name = lambda t, rule: rule if table else f"{t}.{rule}"
+    counts = F.map_from_entries(F.collect_list(F.struct("rule", "violations")))  # one entry a rule
+    entries = F.array(*[
+        F.struct(F.lit(t).alias("table_name"), F.lit(rule).alias("rule"),
+                 F.coalesce(F.try_element_at("_c", F.lit(name(t, rule))), F.lit(0)).cast("long").alias("violations"))
+        for t, rule in rules
+    ])
+    return found.agg(counts.alias("_c")).select(F.inline(entries))
+
+
+def immutable_report(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(rule, violations): rows of ``before`` that are gone from ``after``, and those changed, column by column."""
+    new = after.select(F.col(key), F.lit(True).alias("_there"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    both = before.select(key, *columns).join(new, key, "left")
+    kept = F.col("_there").isNotNull()
+    counts = [F.count(F.when(~kept, 1)).alias("kept")]
+    counts += [F.count(F.when(kept & ~F.col(c).eqNullSafe(F.col(f"_new_{c}")), 1)).alias(f"{c}_unchanged") for c in columns]
+    names = ["kept", *[f"{c}_unchanged" for c in columns]]
+    entries = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in names])
+    return both.agg(*counts).select(F.inline(entries))
 
 
 def outcome_checks(

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.operators.intake import Scope
+from themeloom.operators.intake import MAX_LIMIT, Scope
+from themeloom.operators.ordered import left_join_spread
+from themeloom.session import cut_lineage
 
 THEME = "struct<id:bigint,name:string,description:string>"
 
@@ -18,7 +20,7 @@ def with_question(inputs: DataFrame, questions: DataFrame) -> DataFrame:
         F.col("id").alias("question_id"), F.col("source").alias("question_source"),
         "form_key", "question_key", "question_version", "question_text",
     )
-    return inputs.join(dimension, "question_id", "left")
+    return left_join_spread(inputs, dimension, "question_id", ["id"])
 
 
 def in_scope(rows: DataFrame, scope: Scope) -> DataFrame:
@@ -81,13 +83,13 @@ def inputs_with_themes(
 ) -> DataFrame:
     """Each input in scope with its question and its distinct current themes in name order.
 
-    A page is cut before any theme is looked up, since filters and order only concern inputs.
-    Themes are gathered once per topic, so the rows of a hot topic look up one ready array.
+    A page is cut and written before any theme is looked up, since filters and order only concern
+    inputs; segments and links are then read for its ids and topics alone.  Inputs meet themes as
+    distinct pairs of ids, so neither a hot topic nor its themes are ever one list; names come last.
     """
     rows = page(in_scope(with_question(inputs, questions), scope), scope)
-    per_topic = topic_themes(themes, theme_topics, roots).groupBy("topic_key").agg(
-        F.collect_list("theme").alias("themes")
-    )
+    if scope.limit is not None:
+        rows = cut_lineage(rows)
     spoken = inputs.where(F.col("topic").isNotNull()).select(
         F.col("id").alias("input_id"), F.lower("topic").alias("topic_key")
     ).unionByName(
@@ -95,12 +97,18 @@ def inputs_with_themes(
             F.col("original_input_id").alias("input_id"), F.lower("topic").alias("topic_key")
         )
     )
+    links = theme_topics.select("theme_id", F.lower("topic").alias("topic_key"))
     if scope.limit is not None:
         ids = rows.select(F.col("id").alias("input_id"))
-        spoken = spoken.join(F.broadcast(ids), "input_id", "left_semi")  # at most one page of ids
-    gathered = spoken.join(per_topic, "topic_key").groupBy("input_id").agg(
-        by_name(F.array_distinct(F.flatten(F.collect_set("themes")))).alias("themes")
-    )
+        if scope.limit <= MAX_LIMIT:  # at most one page of ids
+            ids = F.broadcast(ids)
+        spoken = cut_lineage(spoken.join(ids, "input_id", "left_semi"))
+        links = links.join(spoken.select("topic_key").distinct(), "topic_key", "left_semi")
+    live = themes.where(F.col("merged_into_id").isNull()).select(F.col("id").alias("root_id"), "name", "description")
+    reached = links.join(roots, "theme_id").select("topic_key", "root_id").distinct()
+    pairs = spoken.distinct().join(reached, "topic_key").select("input_id", "root_id").distinct()
+    theme = F.struct(F.col("root_id").alias("id"), "name", "description")
+    gathered = pairs.join(live, "root_id").groupBy("input_id").agg(by_name(F.collect_list(theme)).alias("themes"))
     context = F.when(
         F.col("question_id").isNotNull(),
         F.struct("form_key", "question_key", "question_version", "question_text"),
@@ -242,7 +250,7 @@ def evidence_inputs(evidence: DataFrame, segments: DataFrame) -> DataFrame:
     parents = segments.select(
         F.col("id").alias("segment_input_id"), F.col("original_input_id").alias("_parent")
     )
-    return evidence.join(parents, "segment_input_id", "left").select(
+    return left_join_spread(evidence, parents, "segment_input_id", ["suggestion_id", "original_input_id"]).select(
         "suggestion_id", F.coalesce("original_input_id", "_parent").alias("input_id")
     )
 

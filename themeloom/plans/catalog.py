@@ -1067,10 +1067,25 @@ def suggestions_by_source(spark, d):
 
 @query("constraint_report", ref.constraint_sql())
 def constraint_report(spark, d):
-    names = ("questions", "inputs", "segments", "embeddings", "themes", "theme_topics", "suggestions", "evidence", "jobs")
+    names = ("questions", "inputs", "segments", "embeddings", "themes", "theme_topics", "suggestions",
+             "suggestion_themes", "suggestion_topics", "evidence", "jobs")
     return quality.constraint_report({name: getattr(rel, name)(spark, d) for name in names})
 
 
+@query("immutable_report", """SELECT 'questions' AS table_name, 'kept' AS rule, count(*) FILTER (WHERE id % 37 = 0) AS violations FROM q_questions
+UNION ALL SELECT 'questions', 'question_text_unchanged', count(*) FILTER (WHERE id % 37 <> 0 AND id % 5 = 1) FROM q_questions
+UNION ALL SELECT 'questions', 'question_version_unchanged', 0 FROM q_questions WHERE id = (SELECT min(id) FROM q_questions)
+UNION ALL SELECT 'inputs', 'kept', 0 FROM q_inputs WHERE id = (SELECT min(id) FROM q_inputs)
+UNION ALL SELECT 'inputs', 'question_id_unchanged', count(*) FILTER (WHERE id % 29 = 0 AND question_id IS NOT NULL) FROM q_inputs""")
+def immutable_report(spark, d):
+    """What a later snapshot changed of what never changes: wordings, and the question of an input."""
+    asked, given = rel.questions(spark, d), rel.inputs(spark, d).select("id", "question_id")
+    later = asked.where("id % 37 <> 0").withColumn("question_text", F.expr("CASE WHEN id % 5 = 1 THEN upper(question_text) ELSE question_text END"))
+    moved = given.withColumn("question_id", F.expr("CASE WHEN id % 29 = 0 THEN NULL ELSE question_id END"))
+    report = quality.immutable_report(asked, later, "id", ["question_text", "question_version"]).withColumn("table_name", F.lit("questions"))
+    return report.unionByName(quality.immutable_report(given, moved, "id", ["question_id"]).withColumn("table_name", F.lit("inputs")))
+
+
 ref.VIEWS["q_waiting"] = """
 SELECT i.id, e.embedding_model, e.dim FROM q_inputs i LEFT JOIN q_embeddings e ON e.original_input_id = i.id
 WHERE i.status = 'ready_for_analysis'"""

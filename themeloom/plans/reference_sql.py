@@ -103,6 +103,12 @@ SELECT id, CASE id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'reuse' WHEN 2 THEN 'update
   CASE WHEN id % 3 = 0 THEN 4 * id END AS materialized_theme_id,
   CASE WHEN id % 3 = 0 THEN {EPOCH} + to_hours(id) END AS materialized_at
 FROM (SELECT s_suppkey + 1 AS id FROM supplier)""",
+    "q_suggestion_themes": """
+SELECT DISTINCT id AS suggestion_id, unnest(existing_theme_ids) AS theme_id FROM q_suggestions
+UNION ALL SELECT id, 4 * id FROM q_suggestions WHERE id % 30 = 2""",
+    "q_suggestion_topics": """
+SELECT id AS suggestion_id, unnest(topics) AS topic FROM q_suggestions
+UNION ALL SELECT id + 3, CASE WHEN id % 3 = 0 THEN upper(topics[1]) ELSE ' ' END FROM q_suggestions WHERE id % 20 = 1""",
     "q_evidence": """
 SELECT 1 + id % (SELECT count(*) FROM supplier) AS suggestion_id, id AS original_input_id, NULL::BIGINT AS segment_input_id
 FROM q_inputs WHERE topic IS NOT NULL
@@ -272,7 +278,13 @@ def constraint_sql() -> str:
             "attempts_nonnegative": "(attempts IS NULL OR attempts < 0)",
             "lock_consistent": "((status = 'processing') <> (locked_at IS NOT NULL AND locked_by IS NOT NULL))"},
     }
+    numbered = ("questions", "inputs", "segments", "embeddings", "themes", "suggestions", "jobs")
+    rows["suggestion_topics"] = {"topic_valid": text("topic", 120)}
+    for table in numbered:
+        rows[table]["id_present"] = "id IS NULL"
     unique = [
+        *[(table, "id_unique", "id") for table in numbered],
+        ("suggestion_themes", "link_unique", "suggestion_id, theme_id"), ("suggestion_topics", "link_unique", "suggestion_id, lower(topic)"),
         ("questions", "identity_unique", "source, form_key, question_key, question_version"),
         ("segments", "position_unique", "original_input_id, segment_order"),
         ("embeddings", "original_unique", "original_input_id"), ("embeddings", "segment_unique", "segment_input_id"),
@@ -282,6 +294,8 @@ def constraint_sql() -> str:
         ("evidence", "segment_unique", "suggestion_id, segment_input_id"),
         ("jobs", "input_stage_unique", "job_type, original_input_id")]
     foreign = [
+        ("suggestion_themes", "suggestion_id", "suggestions"), ("suggestion_themes", "theme_id", "themes"),
+        ("suggestion_topics", "suggestion_id", "suggestions"),
         ("inputs", "question_id", "questions"), ("segments", "original_input_id", "inputs"),
         ("embeddings", "original_input_id", "inputs"), ("embeddings", "segment_input_id", "segments"),
         ("themes", "merged_into_id", "themes"), ("theme_topics", "theme_id", "themes"),

@@ -171,6 +171,20 @@ def suggestions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def suggestion_themes(spark: SparkSession, folder: str) -> DataFrame:
+    """The links of suggestions to themes as rows, a few of them twice."""
+    base = suggestions(spark, folder)
+    links = base.select(F.col("id").alias("suggestion_id"), F.explode("existing_theme_ids").alias("theme_id")).distinct()
+    return links.union(base.where("id % 30 = 2").selectExpr("id", "4 * id"))
+
+
+def suggestion_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """The topics of suggestions as rows, some blank, some on a suggestion that has them or does not exist."""
+    base = suggestions(spark, folder)
+    extra = base.where("id % 20 = 1").selectExpr("id + 3", "CASE WHEN id % 3 = 0 THEN upper(topics[0]) ELSE ' ' END")
+    return base.select(F.col("id").alias("suggestion_id"), F.explode("topics").alias("topic")).union(extra)
+
+
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence for every suggestion, and for some that do not exist."""
     none, count = F.lit(None).cast("long"), read(spark, folder, "supplier").count()
