@@ -58,3 +58,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = work_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Remove what this application wrote to its work folders; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
