@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from themeloom import providers
 from themeloom.functions import text as tx
 from themeloom.functions import vectors as vec
-from themeloom.operators import clusters, intake, jobs, quality, reports, themes, topics
+from themeloom.operators import clusters, intake, jobs, organise, quality, reports, theme_state, themes, topics
 from themeloom.operators import graph
 from themeloom.operators import segments as seg
 from themeloom.sources import schema
@@ -385,3 +385,26 @@ def test_constraints_are_counted(spark):
         ("inputs", "submission_key_nonempty"): 1, ("inputs", "completed_has_topic"): 1, ("inputs", "question_id_exists"): 1,
         ("questions", "identity_unique"): 1, ("questions", "version_positive"): 1, ("questions", "text_nonempty"): 1,
         ("embeddings", "original_unique"): 2, ("embeddings", "one_target"): 1, ("embeddings", "model_nonempty"): 1}
+
+
+def test_a_round_sees_the_themes_of_the_rounds_before(spark):
+    names = ["tea", "rum", "milk", "soup"]
+    rows = [("original", 10 * n + i, LONG, name, i, f"q{i}") for n, name in enumerate(names) for i in range(3)]
+    none = spark.createDataFrame([], "id long, name string, description string, merged_into_id long, updated_at timestamp")
+    stored = spark.createDataFrame([], "id long, group_fingerprint string")
+    seen = []
+
+    def decide(found, offered):
+        seen.append(({r["topic_key"] for r in found.collect()}, {r["name"] for r in offered.collect()}))
+        return providers.suggest_themes(found, offered)
+
+    state = theme_state.ThemeState(none, spark.createDataFrame([], "theme_id long, topic string"))
+    done = organise.organise_themes(units(spark, rows), state, stored, decide, F.lit(NOW), rounds=3)
+    created = set()
+    for turn, (found, offered) in enumerate(seen):
+        assert offered == (created if found else set())
+        created |= found
+    assert created == set(names) == {r["name"] for r in done.state.themes.collect()}
+    assert sorted(r["id"] for r in done.suggestions.collect()) == [1, 2, 3, 4] and done.evidence.count() == 12 and done.rejects.count() == 0
+    again = organise.organise_themes(units(spark, rows), done.state, done.suggestions, providers.suggest_themes, F.lit(NOW), rounds=1)
+    assert again.suggestions.count() == 0 and again.state.themes.count() == 4

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from themeloom import providers
 from themeloom.functions import text as tx
 from themeloom.functions import vectors as vec
-from themeloom.operators import clusters, graph, intake, jobs, neighbors, ordered, quality, reports
+from themeloom.operators import clusters, graph, intake, jobs, neighbors, organise, ordered, quality, reports
 from themeloom.operators import segments as seg
 from themeloom.operators import theme_state, themes, topics
 from themeloom.plans import reference_sql as ref
@@ -926,6 +926,19 @@ def replay_pending(spark, d):
     return _outcome(_apply(spark, d))
 
 
+@query("organise_themes", """SELECT e.topic_key, CASE WHEN r.theme_id IS NULL THEN 'new' ELSE 'reuse' END AS action, coalesce(r.name, e.topic_name) AS theme,
+  (SELECT count(*) FROM q_units u WHERE u.topic_key = e.topic_key) AS evidence
+FROM q_eligible e LEFT JOIN (SELECT topic_key, theme_id, name FROM q_ranked WHERE rank = 1 AND relevance > 0) r USING (topic_key)
+WHERE e.member_count % 3 <> 0""")
+def organise_themes(spark, d):
+    """The whole theme stage in two rounds: the theme that each new suggestion ended in, and its evidence."""
+    units = cut_lineage(_units(spark, d))
+    done = organise.organise_themes(units, _state(spark, d), _stored(spark, d), providers.suggest_themes, rel.as_of(), 2)
+    pieces = done.evidence.groupBy(F.col("suggestion_id").alias("id")).agg(F.count(F.lit(1)).alias("evidence"))
+    named = done.state.themes.select(F.col("id").alias("materialized_theme_id"), F.col("name").alias("theme"))
+    return done.suggestions.join(named, "materialized_theme_id").join(pieces, "id").select("topic_key", "action", "theme", "evidence")
+
+
 @query("link_topics", """SELECT theme_id, arg_min(topic, input_id) AS topic FROM (
   SELECT DISTINCT t.id AS theme_id, i.topic, i.id AS input_id FROM q_inputs i JOIN q_themes t ON t.id = 1 + i.id % (SELECT count(*) + 5 FROM customer) WHERE i.topic IS NOT NULL) o
 WHERE NOT EXISTS (SELECT 1 FROM q_theme_topics l WHERE l.theme_id = o.theme_id AND lower(l.topic) = lower(o.topic))
