@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from themeloom.operators import jobs
+from themeloom.plans import catalog
 from themeloom.plans import relations as rel
 from themeloom.sources import tables
 from themeloom.streaming import stages
@@ -65,3 +66,45 @@ def test_an_input_of_any_number_of_segments_gets_unique_ids(spark):
     segments, _ = stages.new_segments(many, 7)
     assert segments.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()[:] == (100_005, 100_005, 7, 100_011)
     assert segments.where("original_input_id = 2").agg(F.min("id")).first()[0] == 100_010
+
+
+def test_pipeline_in_batches(spark, tmp_path):
+    """Eight records over three batches: rejects, a conflict, segments, evidence of earlier batches, themes that grow."""
+    context = lambda key, text: {"form_key": "f", "question_key": key, "question_version": None, "question_text": text}
+    schema = ("record_id long, original_text string, source string, submission_key string, "
+              "question_context struct<form_key: string, question_key: string, question_version: int, question_text: string>")
+    batches = [
+        [(1, "the kettle was far too slow\nthe cups were cold", " web ", None, context("q1", "How was it?")), (2, " ", "web", None, None),
+         (3, "the kettle leaked on the table", "web", None, context("q1", "How was it?"))],
+        [(4, "wrong wording for the same question", "web", None, context("q1", "Something else?")), (5, "a quiet room with a nice view", "web", None, None),
+         (6, "the kettle was never clean at all", "web", "s1", context("q2", "What else?"))],
+        [(7, "the room was quiet and large", "web", None, context("q2", "What else?")), (8, "no question but a submission", "web", "s2", None)],
+    ]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def choose(asked, votes):
+        word = F.when(F.col("text").contains("kettle"), "Kettle").when(F.col("text").contains("room"), "Room").otherwise("Other")
+        return catalog.arithmetic_topics(asked, votes).drop("response").join(
+            asked.withColumn("w", word).groupBy(F.col("original_input_id").alias("input_id")).agg(F.to_json(F.struct(
+                F.max(F.when(F.col("entity_type") == "original", F.struct(F.col("w").alias("name"), F.lit(False).alias("reused_existing")))).alias("original_topic"),
+                F.collect_list(F.when(F.col("entity_type") == "segment", F.struct(F.col("entity_id").alias("segment_id"), F.struct(
+                    F.col("w").alias("name"), F.lit(False).alias("reused_existing")).alias("topic")))).alias("segment_topics"))).alias("response")), "input_id")
+
+    def run():
+        stages.stream_pipeline(stages.read_stream(spark, source, schema, 1), out, choose=choose, rounds=1)
+
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        run()
+    run()  # nothing new
+    done = {r["id"]: r for r in tables.read_stage(spark, out, "inputs").collect()}
+    assert sorted(done) == [1, 3, 5, 6, 7] and {r["status"] for r in done.values()} == {"completed"}
+    assert (done[1]["question_id"], done[3]["question_id"], done[5]["question_id"], done[6]["question_id"], done[7]["question_id"]) == (1, 1, None, 2, 2)
+    topics = {(r["entity_type"], r["entity_id"]): r["topic"] for r in tables.read_stage(spark, out, "topics").collect()}
+    assert topics == {("original", 1): "Kettle", ("segment", 1): "Kettle", ("segment", 2): "Other", ("original", 3): "Kettle",
+                      ("original", 5): "Room", ("original", 6): "Kettle", ("original", 7): "Room"}
+    themes = {b: sorted(r["name"] for r in tables.read_stage(spark, out, "themes").where(F.col("batch_id") == b).collect()) for b in range(3)}
+    assert themes == {0: ["Kettle"], 1: ["Kettle"], 2: ["Kettle", "Room"]}
+    asked = {r["action"]: r["topic_key"] for r in tables.read_stage(spark, out, "suggestions").where("batch_id = 1").collect()}
+    assert asked == {"reuse": "kettle"}  # its membership grew
+    assert tables.read_stage(spark, out, "embeddings").count() == 7

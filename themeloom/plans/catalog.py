@@ -76,6 +76,34 @@ def stream_inputs(spark, d):
     return done.join(pieces, "id", "left").fillna(0, ["segments"])
 
 
+def arithmetic_topics(asked, votes):
+    """Topic responses by the id of the input, whatever the votes say, in place of a model."""
+    choice = F.struct(F.expr("concat('Subject ', original_input_id % 7)").alias("name"), F.lit(False).alias("reused_existing"))
+    pieces = F.collect_list(F.when(F.col("entity_type") == "segment", F.struct(F.col("entity_id").alias("segment_id"), choice.alias("topic"))))
+    body = F.to_json(F.struct(F.max(F.when(F.col("entity_type") == "original", choice)).alias("original_topic"), pieces.alias("segment_topics")))
+    return asked.groupBy(F.col("original_input_id").alias("input_id")).agg(body.alias("response"))
+
+
+@query("stream_pipeline", """SELECT c.record_id AS id, 'completed' AS status, 'Subject ' || (c.record_id % 7) AS topic, 'Subject ' || (c.record_id % 7) AS theme,
+  CASE WHEN len(l.ls) >= 2 AND len(list_distinct(l.ls)) = len(l.ls) THEN len(l.ls) ELSE 0 END AS segments, c.form_key IS NOT NULL AS asked
+FROM (SELECT *, first_value(question_text) OVER (PARTITION BY source, form_key, question_key, question_version ORDER BY record_id) AS first_text
+      FROM q_checked WHERE error_code IS NULL) c JOIN q_lines l ON l.doc_id = c.record_id
+WHERE c.form_key IS NULL OR c.question_text = c.first_text""")
+def stream_pipeline(spark, d):
+    """Records to themes as a stream: intake, questions, segments, embeddings, topics, themes."""
+    folder, source = work_folder(spark), work_folder(spark)
+    rel.raw_records(spark, d).coalesce(1).write.parquet(source)
+    raw = stages.read_stream(spark, source, spark.read.parquet(source).schema)
+    stages.stream_pipeline(raw, folder, choose=arithmetic_topics)
+    done, named = tables.read_stage(spark, folder, "inputs"), tables.read_stage(spark, folder, "topics").where("entity_type = 'original'")
+    pieces = tables.read_stage(spark, folder, "segments").groupBy(F.col("original_input_id").alias("id")).agg(F.count(F.lit(1)).alias("segments"))
+    links = tables.read_stage(spark, folder, "theme_topics").join(
+        tables.read_stage(spark, folder, "themes").select(F.col("id").alias("theme_id"), F.col("name").alias("theme")), "theme_id")
+    shown = done.join(named.select(F.col("entity_id").alias("id"), "topic"), "id").join(links.select("topic", "theme"), "topic")
+    return shown.join(pieces, "id", "left").select(
+        "id", "status", "topic", "theme", F.coalesce("segments", F.lit(0)).alias("segments"), F.col("question_id").isNotNull().alias("asked"))
+
+
 @query("append_sink", "SELECT id, original_input_id, segment_order, topic FROM q_segments")
 def append_sink(spark, d):
     folder = work_folder(spark)
