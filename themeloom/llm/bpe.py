@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import documents, text_bytes
+from themeloom.llm.common import documents, text_bytes, tidy
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 FOLLOWERS = 20_000
@@ -29,7 +29,7 @@ FOLLOWERS = 20_000
 LOOKAHEAD = 4096
 """Bytes after which tokens that nothing can change any more are emitted, whatever the length of the pre-token."""
 CHUNKS = 100_000
-"""Encoded chunks that a worker remembers; beyond it they are forgotten, with the same results."""
+"""Encoded chunks that a task remembers; beyond it they are forgotten, with the same results."""
 
 # A blank between two characters that are no white space always starts a match, so texts can be cut there.
 UNEVEN = re.compile(r"\s | \s|^ | $")
@@ -227,16 +227,6 @@ class Decoder:
         return "".join([*out, stream.close()])
 
 
-_WORKERS: dict[tuple, object] = {}
-
-
-def _worker(kind, content: bytes, *rest):
-    key = (kind, hash(content), *rest)
-    if key not in _WORKERS:
-        _WORKERS[key] = kind(load_ranks(content), *rest)
-    return _WORKERS[key]
-
-
 def _content(spark: SparkSession, vocabulary: str):
     with open(vocabulary, "rb") as file:  # an installed file of under a megabyte, not an input
         return spark.sparkContext.broadcast(file.read())
@@ -253,7 +243,7 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, patt
     schema = kept.withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker(Encoder, content.value, pattern)
+        encoder = Encoder(load_ranks(content.value), pattern)
         for batch in batches:
             at, rows = 0, batch.column(text)
             while at < len(rows):
@@ -266,7 +256,7 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, patt
                 yield pa.RecordBatch.from_arrays([*part.columns, counts, pa.array(ids, pa.binary())], [*part.schema.names, "n_tokens", "ids"])
                 at += len(ids)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -275,7 +265,7 @@ def decode(df: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY) -> Dat
     kept = df.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _worker(Decoder, content.value)
+        decoder = Decoder(load_ranks(content.value))
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -287,7 +277,7 @@ def decode(df: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY) -> Dat
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
                 at += len(texts)
 
-    return kept.mapInArrow(run, kept.withColumn("decoded", F.lit("")).schema)
+    return kept.mapInArrow(tidy(run), kept.withColumn("decoded", F.lit("")).schema)
 
 
 def unpack(packed: bytes) -> list[int]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             blob = np.frombuffer(b"".join(x or b"" for x in part.column(column).to_pylist()), np.uint8)
             yield part, blob, np.concatenate(([0], ends[first:last] - base))
             first = last
-    pa.default_memory_pool().release_unused()  # workers outlive their tasks and share an executor's memory
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, after which the worker gives freed memory back: workers outlive their tasks and share an executor's memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library; others give it back themselves
+        if trim is not None:
+            trim(0)
+
+    return tidied
 
 
 def mix(x: np.ndarray) -> np.ndarray:

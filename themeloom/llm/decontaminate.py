@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import LOWER, documents, hashes, mix, slices, table, words
+from themeloom.llm.common import LOWER, documents, hashes, mix, slices, table, tidy, words
 
 EDITS = 0.15
 """Greatest edit distance of a match as a share of the item's length."""
@@ -258,7 +258,7 @@ def term_counts(docs: DataFrame, texts: list[str]) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["piece", "counts"])
 
     schema = "piece int, counts binary"
-    rows = docs.select("__text").mapInArrow(count, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect()
+    rows = docs.select("__text").mapInArrow(tidy(count), schema).repartition(PIECES, "piece").mapInArrow(tidy(add), schema).collect()
     if not rows:
         return {}
     return dict(zip(wanted.tolist(), np.concatenate([np.frombuffer(row.counts, np.int64) for row in sorted(rows)]).tolist()))
@@ -289,7 +289,7 @@ def leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, text: str = "te
                 found = pa.array([[{"item_id": i, "distance": d} for i, d in sorted(row.items())] for row in rows], arrow)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], part.column("__text"), found], [*kept, "__text", "leaks"])
 
-        return frame.mapInArrow(run, schema)
+        return frame.mapInArrow(tidy(run), schema)
 
     lower = F.coalesce(F.lower(F.col(text)).cast("binary"), F.lit(b"")).alias("__text")
     texts_of = df.select(lower)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import table
+from themeloom.llm.common import table, tidy
 
 LABELLED = 2_000
 """Pages at most that the weights are learned from: those of smallest hash among the pages that mark their article."""
@@ -192,7 +192,7 @@ def learn(pages: DataFrame, limit: int = LABELLED, id: str = "page_id", html: st
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.string()), ("name", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())]))
 
     sample = pages.where(F.col(id).isin(chosen)).where(F.contains(F.lower(html), F.lit("<article"))).select(html)
-    counted = sample.mapInArrow(run, "kind string, name string, inside boolean, n long").groupBy("kind", "name", "inside").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(tidy(run), "kind string, name string, inside boolean, n long").groupBy("kind", "name", "inside").agg(F.sum("n").alias("n"))
     return Weights.learned({(r.kind, r.name, r.inside): r.n for r in counted.collect()})
 
 
@@ -211,7 +211,7 @@ def main_text(pages: DataFrame, weights: Weights, html: str = "html") -> DataFra
             columns = [batch.column(c) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*rest, "text", "n_chars"])
 
-    return pages.select(*rest, html).mapInArrow(run, schema)
+    return pages.select(*rest, html).mapInArrow(tidy(run), schema)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import LOWER, documents, hashes, mix, slices, text_bytes, words
+from themeloom.llm.common import LOWER, documents, hashes, mix, slices, text_bytes, tidy, words
 from themeloom.operators.graph import merge_components
 from themeloom.session import cut_lineage, tasks
 
@@ -30,7 +30,7 @@ BLOCK = 256
 """Sets that a task compares with each other at a time in a large group."""
 PIVOTS = 16
 """Sets of a large group that are compared with all others first."""
-KEYS = 2_000_000
+KEYS = 1_000_000
 """Keys that a task gathers before it sends them on."""
 SEEDS = 12
 BY_CHANCE = 50.0
@@ -228,8 +228,8 @@ def _candidates(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
                 part = pairs[at:at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array([kind] * len(part))], ["a", "b", "large"])
 
-    cells = docs.mapInArrow(send, "bucket int, nodes binary, at binary, keys binary")
-    return cells.repartition(parts, "bucket").mapInArrow(meet, "a long, b long, large boolean").distinct()
+    cells = docs.mapInArrow(tidy(send), "bucket int, nodes binary, at binary, keys binary")
+    return cells.repartition(parts, "bucket").mapInArrow(tidy(meet), "a long, b long, large boolean").distinct()
 
 
 def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -241,7 +241,7 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
             nodes = pa.array(signatures(found, sizes), mask=sizes == 0)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), nodes, pa.array(parities(found, of, sizes), pa.binary())], ["doc_id", "n_shingles", "node", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, parity binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, parity binary")
 
 
 def _possible(rule: Rule, size_a: int, size_b: int, parity_a: bytes, parity_b: bytes) -> bool:
@@ -264,7 +264,7 @@ def _promising(pairs: DataFrame, rule: Rule) -> DataFrame:
             keep = pa.array([_possible(rule, *row) for row in rows], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(tidy(run), "a long, b long")
 
 
 def _common(rows_a: np.ndarray, a: np.ndarray, rows_b: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
@@ -290,7 +290,7 @@ def _verified(pairs: DataFrame, rule: Rule) -> DataFrame:
             linked = pa.array(rule.den * common >= rule.num * (size_a + size_b - common))
             yield pa.RecordBatch.from_arrays([part.column("doc_a"), part.column("doc_b")], ["a", "b"]).filter(linked)
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(tidy(run), "a long, b long")
 
 
 def _links_within(rule: Rule, docs: np.ndarray, texts: list[bytes], left: np.ndarray) -> np.ndarray:
@@ -352,7 +352,7 @@ def _within(blocks: DataFrame, rule: Rule) -> DataFrame:
             yield done()
 
     parts = tasks(blocks.sparkSession)
-    return blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
+    return blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(run), "a long, b long")
 
 
 def _block_links(stars: DataFrame, texts: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
@@ -414,7 +414,7 @@ def components(df: DataFrame, rule: Rule | None = None, id: str = "doc_id", text
             yield part.filter(pa.array(signatures(found, sizes) == part.column("node").to_numpy()))
 
     texts = docs.join(needed.withColumnRenamed("doc", "doc_id"), "doc_id").select("node", F.col("doc_id").alias("doc"), "text")
-    texts = cut_lineage(texts.mapInArrow(own, "node long, doc long, text binary").dropDuplicates(["node"]))
+    texts = cut_lineage(texts.mapInArrow(tidy(own), "node long, doc long, text binary").dropDuplicates(["node"]))
     text_of = lambda x: texts.select(F.col("node").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}"))
     links = cut_lineage(_verified(pairs.join(text_of("a"), "a").join(text_of("b"), "b"), rule))
     if not stars.isEmpty():

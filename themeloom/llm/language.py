@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import LOWER, mix, slices, table, text_bytes
+from themeloom.llm.common import LOWER, mix, slices, table, text_bytes, tidy
 from themeloom.session import cut_lineage
 
 BUCKETS = 1 << 14
@@ -65,7 +65,7 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     named = docs.where(F.col("lang").isNotNull() & (F.trim("lang") != "")).select(F.lower(F.trim("lang")).alias("lang"), text_bytes().alias("text"))
     schema = "lang string, counts binary"
-    rows = sorted(named.mapInArrow(count, schema).repartition("lang").mapInArrow(add, schema).collect())
+    rows = sorted(named.mapInArrow(tidy(count), schema).repartition("lang").mapInArrow(tidy(add), schema).collect())
     if len(rows) > LANGUAGES:
         raise ValueError(f"{len(rows)} languages are more than {LANGUAGES}")
     if not rows:
@@ -110,7 +110,7 @@ def page_evidence(pages: DataFrame, languages: list[str], model: np.ndarray) ->
             ], ["page_id", "host", "domain", "suffix", "declared", "text", "best"])
 
     schema = "page_id long, host string, domain string, suffix string, declared string, text array<double>, best int"
-    return pages.select("page_id", "url", text_bytes("html").alias("html")).mapInArrow(run, schema)
+    return pages.select("page_id", "url", text_bytes("html").alias("html")).mapInArrow(tidy(run), schema)
 
 
 def _votes(rows: DataFrame, *keys: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import LOWER, documents, hashes, mix, slices, table, text_bytes, words
+from themeloom.llm.common import LOWER, documents, hashes, mix, slices, table, text_bytes, tidy, words
 
 FORMS, SHAPES, DIM = 1 << 14, 1 << 12, 32
 """Hashed word forms and word shapes that have a vector, and its length: the whole table is 2.6 MB whatever the corpus."""
@@ -84,7 +84,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["piece", "sums"])
 
     schema = "piece int, sums binary"
-    rows = docs.select(text_bytes().alias("text")).mapInArrow(gather, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect()
+    rows = docs.select(text_bytes().alias("text")).mapInArrow(tidy(gather), schema).repartition(PIECES, "piece").mapInArrow(tidy(add), schema).collect()
     shapes = [len(p) for p in np.array_split(np.zeros(FORMS + SHAPES), PIECES)]
     found = {row.piece: np.frombuffer(row.sums).reshape(-1, DIM) for row in rows}
     vectors = np.concatenate([found.get(n, np.zeros((size, DIM))) for n, size in enumerate(shapes)])
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[np
             inputs = [row.tobytes() for row in pooled(blob, offsets, vectors)]
             yield pa.RecordBatch.from_arrays([part.column("quality").cast(pa.float64()), pa.array(inputs, pa.binary())], ["quality", "inputs"])
 
-    found = sorted(rows.mapInArrow(run, "quality double, inputs binary").collect(), key=lambda row: (row.inputs, row.quality))
+    found = sorted(rows.mapInArrow(tidy(run), "quality double, inputs binary").collect(), key=lambda row: (row.inputs, row.quality))
     inputs = np.array([np.frombuffer(row.inputs) for row in found]).reshape(-1, FEATURES)
     return vectors, fit(inputs, np.array([float(row.quality >= 1) for row in found]))
 
@@ -211,7 +211,7 @@ def score(df: DataFrame, vectors: np.ndarray, network: Network, text: str = "tex
             scores = network.probabilities(pooled(blob, offsets, vectors))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(scores)], [*kept, "score"])
 
-    return df.select(*kept, text_bytes(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*kept, text_bytes(text).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

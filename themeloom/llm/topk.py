@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import table
+from themeloom.llm.common import table, tidy
 from themeloom.session import cut_lineage, tasks
 
 BITS = 5
@@ -88,7 +88,7 @@ def blocks(df: DataFrame, size: int, marks: dict[int, np.ndarray], id: str, vect
             if sum(map(len, held[dim])):
                 yield block(dim)
 
-    return df.select(id, vector).mapInArrow(run, "block long, dim int, ids binary, kind string, exact binary, cells binary, low binary, high binary")
+    return df.select(id, vector).mapInArrow(tidy(run), "block long, dim int, ids binary, kind string, exact binary, cells binary, low binary, high binary")
 
 
 def search_block(queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, exact: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
@@ -159,7 +159,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", ve
                     pa.array(np.concatenate([np.zeros(0, np.int64), *[found for _, found, _ in out]])), pa.array(np.concatenate([np.zeros(0, np.int64), *[scores for _, _, scores in out]])),
                 ], ["query_id", id, "score"])
 
-    found = pairs.mapInArrow(run, f"query_id long, {id} long, score long")
+    found = pairs.mapInArrow(tidy(run), f"query_id long, {id} long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import table, text_bytes
+from themeloom.llm.common import table, text_bytes, tidy
 from themeloom.session import work_folder
 
 LEAST_REVISIT = 100
@@ -130,7 +130,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("content")
-    members = files.mapInArrow(run, "member binary").select(F.col("member").cast("string"))
+    members = files.mapInArrow(tidy(run), "member binary").select(F.col("member").cast("string"))
     members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", RECORDS).text(target)
 
 
@@ -182,7 +182,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(run, READ)
+    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(tidy(run), READ)
 
 
 def archive(pages: DataFrame, folder: str) -> tuple[str, str]:
