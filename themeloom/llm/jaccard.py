@@ -32,6 +32,8 @@ PIVOTS = 16
 """Sets of a large group that are compared with all others first."""
 KEYS = 1_000_000
 """Keys that a task gathers before it sends them on."""
+BUCKETS = 3
+"""Buckets of keys for each shuffle partition: a bucket is held in memory as a whole."""
 SEEDS = 12
 BY_CHANCE = 50.0
 U = np.uint64
@@ -217,7 +219,11 @@ def _candidates(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
                     nodes.append(own[np.frombuffer(at, np.uint16 if len(own) < 1 << 16 else np.uint32)])
                 else:
                     large.append(own.reshape(-1, 2))
-        _, nodes, first, size = _groups(np.concatenate(keys), np.concatenate(nodes))
+        keys, nodes = np.concatenate(keys), np.concatenate(nodes)
+        order = np.argsort(keys, kind="stable")
+        same = np.diff(keys[order]) == 0
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order  # most keys are one set's
+        _, nodes, first, size = _groups(keys[order], nodes[order])
         large.append(_stars(nodes, first[size > GROUP], size[size > GROUP]))
         for n in range(2, GROUP + 1):
             of = nodes[first[size == n][:, None] + np.arange(n)]
@@ -401,7 +407,7 @@ def components(df: DataFrame, rule: Rule | None = None, id: str = "doc_id", text
     described = cut_lineage(_describe(docs, rule))
     named = described.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     info = cut_lineage(named.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size"), F.max("parity").alias("parity")))
-    found = cut_lineage(_candidates(docs.where(F.col("doc_id").isNotNull()).select("text"), rule, tasks(spark)))
+    found = cut_lineage(_candidates(docs.where(F.col("doc_id").isNotNull()).select("text"), rule, BUCKETS * tasks(spark)))
     side = lambda x: info.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}"))
     pairs = cut_lineage(_promising(found.where("NOT large").select("a", "b").join(side("a"), "a").join(side("b"), "b"), rule))
     stars = found.where("large")
