@@ -29,7 +29,7 @@ FOLLOWERS = 20_000
 LOOKAHEAD = 4096
 """Bytes after which tokens that nothing can change any more are emitted, whatever the length of the pre-token."""
 CHUNKS = 100_000
-"""Encoded chunks that a task remembers; beyond it they are forgotten, with the same results."""
+"""Encoded chunks that a worker remembers; beyond it they are forgotten, with the same results."""
 
 # A blank between two characters that are no white space always starts a match, so texts can be cut there.
 UNEVEN = re.compile(r"\s | \s|^ | $")
@@ -227,6 +227,16 @@ class Decoder:
         return "".join([*out, stream.close()])
 
 
+_WORKERS: dict[tuple, object] = {}  # a machine determinised by one task serves the next
+
+
+def _worker(kind, content: bytes, *rest):
+    key = (kind, hash(content), *rest)
+    if key not in _WORKERS:
+        _WORKERS[key] = kind(load_ranks(content), *rest)
+    return _WORKERS[key]
+
+
 def _content(spark: SparkSession, vocabulary: str):
     with open(vocabulary, "rb") as file:  # an installed file of under a megabyte, not an input
         return spark.sparkContext.broadcast(file.read())
@@ -243,7 +253,7 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, patt
     schema = kept.withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(content.value), pattern)
+        encoder = _worker(Encoder, content.value, pattern)
         for batch in batches:
             at, rows = 0, batch.column(text)
             while at < len(rows):
@@ -265,7 +275,7 @@ def decode(df: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY) -> Dat
     kept = df.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(load_ranks(content.value))
+        decoder = _worker(Decoder, content.value)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
