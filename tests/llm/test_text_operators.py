@@ -153,6 +153,21 @@ def test_leaks(spark):
     assert decontaminate.leaks(df.limit(0), bench).collect() == [] and all(r.leaks == [] for r in decontaminate.leaks(df, bench.limit(0)).collect())
 
 
+def leaks_of(spark, texts, items):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    return {r.doc_id: {x.item_id: x.distance for x in r.leaks} for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_leaks_without_a_whole_word(spark):
+    rng = random.Random(7)
+    common = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(60)]
+    items = [(n, " ".join(rng.choice(common) for _ in range(12 + 4 * n))) for n in range(12)]
+    slip = lambda w: w[:(at := rng.randrange(8))] + "z" + w[at + 1:]
+    host = lambda: " ".join(rng.choice(common) for _ in range(150))
+    got = leaks_of(spark, [" ".join((host(), *map(slip, text.split()), host())) for _, text in items], items)
+    assert all(n in got[n] and got[n][n] <= len(text.split()) for n, text in items)
+
+
 def test_decontaminate_query(spark):
     norm = lambda t: " " + " ".join(w.decode() for w in __import__("re").findall(rb"[0-9a-z\x80-\xff]+", (t or "").lower().encode())) + " "
     docs = {r.doc_id: norm(r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}

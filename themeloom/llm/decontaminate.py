@@ -1,16 +1,15 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
-
-Texts and items are compared as lower-cased words joined by single spaces. A window is laid over a text wherever one of
-the rarest words or pairs of words of an item occurs, aligned at it. From there a CGK random walk runs forwards to the item's end and
-backwards to its beginning: each step emits the byte under it and moves on or not by a random bit of step and byte, so
-that texts of small edit distance give outputs of small Hamming distance. Windows that agree with the item on all the
-positions of one of many samples are verified by exact edit distance. Sample size and count follow from how outputs of
-the items themselves agree after random edits at the threshold.
+"""Benchmark decontamination: counts of shared byte runs by diagonal, exact edit verification.
+
+Texts and items are compared as lower-cased words joined by single spaces. An edit spoils at most GRAM of an item's runs of
+GRAM bytes, so a passage within the allowed edits keeps a known number of them, all within that many diagonals (place in
+the text less place in the item). Runs are counted by item and band of diagonals; every band that reaches the number is
+verified by exact edit distance. The commonest runs of an item are not counted and the number falls by as many, so that no
+passage is lost at any place, of any wording.
 """
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,32 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import LOWER, documents, hashes, mix, slices, table, tidy, words
+from themeloom.llm.common import LOWER, documents, slices, table, tidy, words
 
 EDITS = 0.15
 """Greatest edit distance of a match as a share of the item's length."""
-RECALL = 0.995
-SAMPLE = 4
-"""Positions in one sample."""
 LEAST_WORDS = 8
 """Items of fewer words are no evidence and are not looked for."""
-ANCHORS = 24
-"""Words, and as many pairs of neighbouring words, that anchor an item at most: those that are rarest in all texts."""
-RARE = 1 / 30_000
-"""More frequent words anchor nothing by themselves."""
-PIECES = 16
+GRAM = 5
+"""Bytes of a run. An item of 15 bytes or more keeps at least one run at the allowed edits."""
+CELLS, EVENTS, STEP = 1 << 22, 1 << 21, 1 << 18
+"""Bands counted at a time, runs added at a time, and bytes of text at a time: they bound memory only."""
 ITEM_BYTES = 1 << 20
 """Bytes of items that one pass over the texts looks for; more items take more passes."""
-LONG = 200
-"""Words of an item that are looked for as one: longer items are cut into pieces of about equal length, and one piece found is the item found."""
+LONG, LONG_CHARS = 200, 1_600
+"""Words of an item that are looked for as one: longer items are cut into pieces of about equal length, and one piece found is the item found. An item with a word of more than LONG_CHARS is cut by characters."""
 U = np.uint64
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
-def normalised(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, lower-cased and each with a blank behind it, as one array; starts and texts of the words; terms: hashes of
-    each word (row 0), and of each with the next (row 1, 0 behind the last word of a text)."""
+def normalised(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words, lower-cased and each with a blank behind it, as one array, and where each text begins in it, and its end."""
     blob = LOWER[blob]
     starts, ends, text = words(blob, offsets, BETWEEN)
     size = ends - starts + 1
@@ -52,146 +47,162 @@ def normalised(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     source = np.repeat(starts - place, size) + np.arange(int(size.sum()))
     out = np.concatenate((blob, np.zeros(1, np.uint8)))[source]
     out[place + size - 1] = 32
-    word = hashes(blob, starts, ends)
-    pair = np.zeros(len(word), U)
-    pair[:-1] = mix(mix(word[:-1]) + word[1:]) | U(1)
-    pair[:-1][text[1:] != text[:-1]] = 0
-    return out, place, text, np.stack((word & ~U(1), pair))
-
-
-def walk(data: np.ndarray, begin: np.ndarray, limit: np.ndarray, step: int, bits: np.ndarray, length: int) -> np.ndarray:
-    """CGK outputs (length by window) of walks from ``begin`` towards ``limit``, zero beyond it."""
-    out = np.zeros((length, len(begin)), np.uint8)
-    padded = np.concatenate((data, np.zeros(1, np.uint8)))
-    at, limit, end = begin.astype(np.int32), limit.astype(np.int32), np.int32(len(data))
-    moves = (step * bits[:length]).astype(np.int32)
-    for n in range(length):
-        inside = at < limit if step > 0 else at > limit
-        if not inside.any():
-            break
-        out[n] = padded[np.where(inside, at, end)]
-        at += moves[n][out[n]]
-    return out
+    number = np.bincount(text, minlength=len(offsets) - 1)
+    return out, np.append(place, len(out))[np.concatenate(([0], np.cumsum(number)))]
+
+
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+
+
+def runs(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """The ``size`` (8 at most) bytes from each place on as one number, zeros beyond the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(data),), strides=(1,), writeable=False)
+    return eights & (U(0xFFFFFFFFFFFFFFFF) >> U(64 - 8 * size))
+
+
+class Runs:
+    """Numbers with their rows: a table of slots, in each of which the numbers lie side by side."""
+
+    BITS = 20
+
+    def __init__(self, numbers: np.ndarray):
+        """``rows``: the order of the rows in which equal numbers are neighbours; ``pairs`` counts rows in it."""
+        self.rows = np.argsort(numbers, kind="stable")
+        self.numbers, self.first, self.count = np.unique(numbers[self.rows], return_index=True, return_counts=True)
+        order = np.argsort(self.slot(self.numbers), kind="stable")
+        self.numbers, self.first, self.count = self.numbers[order], self.first[order], self.count[order]
+        slots = self.slot(self.numbers)
+        self.table = np.full(1 << self.BITS, -1, np.int32)
+        self.table[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+        self.deep = int(np.bincount(slots).max()) if len(slots) else 0
+
+    def slot(self, numbers: np.ndarray) -> np.ndarray:
+        return ((numbers * U(0x9E3779B97F4A7C15)) >> U(64 - self.BITS)).astype(np.int64)
+
+    def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``numbers`` of those held, and which of the distinct ones each is."""
+        slot = self.table[self.slot(numbers)]
+        near = np.flatnonzero(slot >= 0)
+        slot, wanted = slot[near], numbers[near]
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for deep in range(self.deep):
+            at = np.minimum(slot + deep, len(self.numbers) - 1)
+            same = self.numbers[at] == wanted
+            places.append(near[same])
+            found.append(at[same])
+            if deep + 1 < self.deep:
+                near, slot, wanted = near[~same], slot[~same], wanted[~same]
+        return np.concatenate(places), np.concatenate(found)
+
+    def pairs(self, places: np.ndarray, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, row) of all rows of the numbers found, about EVENTS at a time."""
+        count = self.count[found]
+        sums = np.cumsum(count)
+        start = 0
+        while start < len(places):
+            base = sums[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sums, base + EVENTS, side="right")))
+            n = count[start:stop]
+            total = int(n.sum())
+            row = np.repeat(self.first[found[start:stop]] - (np.cumsum(n) - n), n) + np.arange(total)
+            yield np.repeat(places[start:stop], n), row
+            start = stop
 
 
 @dataclass
 class Index:
-    """Items, their anchors sorted by the hash of their term, and the sampled outputs of each anchor."""
+    """Items in their normalised form, and the counted runs of those that are looked for."""
 
     ids: list[int]
     items: list[bytes]
-    terms: np.ndarray
+    most: np.ndarray
+    long: np.ndarray
+    least: np.ndarray
     item: np.ndarray
-    before: np.ndarray
-    after: np.ndarray
-    bits: np.ndarray
-    shares: np.ndarray
-    sampled: np.ndarray
-    known: np.ndarray
+    place: np.ndarray
+    counted: Runs
+    runs_of: list[list[int]]
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str], counts: dict[int, int], edits: float = EDITS, recall: float = RECALL, seed: int = 11) -> Index:
-        """``counts``: how often each term occurs in all texts, and under 0 how many words these have."""
-        random = np.random.default_rng(seed)
-        raw = [t.encode() for t in texts]
-        data, place, text, terms = normalised(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64))
-        ends = np.append(place, len(data))
-        count = np.bincount(text, minlength=len(raw))
-        first = np.cumsum(count) - count
-        items = [data[ends[first[n]]:ends[first[n] + count[n]] - 1].tobytes() if count[n] else b"" for n in range(len(raw))]
-        chosen = []
-        total = max(1, counts.get(0, 0))
-        for row, always in zip(terms, (0, ANCHORS)):
-            often = np.array([counts.get(int(t), 0) for t in row], np.int64)
-            rank = np.empty(len(row), np.int64)
-            order = np.lexsort((often, row == 0, text))
-            rank[order] = np.arange(len(row)) - first[text[order]]
-            chosen.append(np.flatnonzero((row != 0) & (count[text] >= LEAST_WORDS) & (rank < ANCHORS) & ((often <= RARE * total) | (rank < always))))
-        use, term = np.concatenate(chosen), np.concatenate([row[some] for row, some in zip(terms, chosen)])
-        order = np.argsort(term, kind="stable")
-        use, term = use[order], term[order]
-        item = text[use]
-        begin = place[use] - ends[first[item]]
-        size = np.array([len(i) for i in items])[item] if len(item) else np.zeros(0, np.int64)
-        longest = max((len(i) for i in items), default=1)
-        bits = random.integers(0, 2, (3 * longest, 256))
-        bits[:, 0] = 1
-        agree = cls._agreement([i for n, i in enumerate(items) if count[n] >= LEAST_WORDS], bits, edits, random)
-        samples = max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - min(0.999, agree**SAMPLE)))))
-        shares = random.random((min(samples, 1_000), SAMPLE))
-        index = cls(ids, items, term, item, begin, size - begin, bits, shares, np.zeros(0), np.zeros(1 << 20, bool))
-        index.known[(index.terms >> U(8)) & U((1 << 20) - 1)] = True
-        index.sampled = index.outputs(data, place[use], ends[first[item]] if len(item) else begin, ends[first[item]] + size if len(item) else begin, np.arange(len(use)))
-        return index
-
-    @staticmethod
-    def _agreement(items: list[bytes], bits: np.ndarray, edits: float, random: np.random.Generator) -> float:
-        """The share of equal outputs of an item and itself after random edits that nine in ten trials reach."""
-        same = []
-        for _ in range(64 if items else 0):
-            item = items[int(random.integers(len(items)))]
-            changed = bytearray(item)
-            for _ in range(int(edits * len(item))):
-                at, kind = int(random.integers(len(changed))), int(random.integers(3))
-                changed[at:at + (kind != 0)] = b"" if kind == 2 else bytes((97 + int(random.integers(26)),))
-            a, b = (walk(x, np.zeros(1, np.int64), np.full(1, len(x)), 1, bits, 3 * len(item)) for x in (np.frombuffer(bytes(x), np.uint8) for x in (item, changed)))
-            same.append(float((a == b).mean()))
-        return float(np.quantile(same, 0.1)) if same else 1.0
-
-    def outputs(self, data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-        """The sampled CGK outputs of windows laid at ``at`` over ``data``, within ``low`` and ``high``, as their anchors sample them."""
-        result = np.zeros((len(at), self.shares.size), np.uint8)
-        shares = self.shares.ravel().astype(np.float32)
-        order = np.argsort(self.after[anchor], kind="stable")  # walks of like length together
-        for start in range(0, len(at), 4_096):
-            some = order[start:start + 4_096]
-            before, after = self.before[anchor[some]].astype(np.int32), self.after[anchor[some]].astype(np.int32)
-            forth = walk(data, at[some], high[some], 1, self.bits, int(3 * after.max()))
-            back = walk(data, at[some] - 1, low[some] - 1, -1, self.bits, int(3 * before.max()) + 1)
-            place = (shares * (3 * (before + after)).astype(np.float32)[:, None]).astype(np.int32)
-            # Places beyond the walk forwards are places of the walk backwards, which lies below it.
-            place += (place >= 3 * after[:, None]) * (len(forth) - 3 * after)[:, None]
-            place *= len(some)
-            place += np.arange(len(some), dtype=np.int32)[:, None]
-            result[some] = np.concatenate((forth, back)).ravel().take(place)
-        return result.reshape(-1, *self.shares.shape)
-
-    def matches(self, blob: np.ndarray, offsets: np.ndarray, edits: float) -> list[tuple[int, int, int]]:
-        """(text, item, distance) of every item found in a text."""
-        data, place, text, terms = normalised(blob, offsets)
-        near = np.flatnonzero(self.known[(terms >> U(8)) & U((1 << 20) - 1)].ravel())
-        low, high = (np.searchsorted(self.terms, terms.ravel()[near], side=s) for s in ("left", "right"))
-        count = high - low
-        word = np.repeat(near % max(1, len(text)), count)
-        anchor = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        if not len(word):
-            return []
-        ends = np.append(place, len(data))
-        words_of = np.bincount(text, minlength=len(offsets) - 1)
-        first = np.cumsum(words_of) - words_of
-        at, begin, end = place[word], ends[first[text[word]]], ends[first[text[word]] + words_of[text[word]]]
+    def build(cls, ids: list[int], texts: list[str], edits: float = EDITS) -> Index:
+        data, bounds = normalised(*joined(texts))
+        items = [data[a:max(a, b - 1)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        size = np.array([len(i) for i in items], np.int64)
+        short = np.array([i.count(b" ") + 1 < LEAST_WORDS for i in items], bool)
+        most = np.where(short, 0, (edits * size).astype(np.int64))
+        long = np.flatnonzero(~short & (size >= GRAM))
+        item = np.repeat(long, size[long] - GRAM + 1)
+        place = np.concatenate([np.arange(size[n] - GRAM + 1) for n in long]) if len(long) else np.zeros(0, np.int64)
+        number = runs(data)[bounds[item] + place]
+        _, which, often = np.unique(number, return_inverse=True, return_counts=True)
+        often = often[which]
+        # Of the runs that must be left, a third may go uncounted: those that occur most in the items.
+        needed = np.maximum(1, size - GRAM + 1 - GRAM * most)
+        order = np.lexsort((place, -often, item))
+        rank = np.empty(len(item), np.int64)
+        begin = np.searchsorted(item, item, side="left")
+        rank[order] = np.arange(len(item)) - begin[order]
+        keep = rank >= (needed // 3)[item]
+        least = needed - needed // 3
+        counted = Runs(number[keep])
+        return cls(ids, items, most, long, least, item[keep][counted.rows], place[keep][counted.rows], counted, [runs(data[a:a + n])[:max(0, n - GRAM + 1)].tolist() if n else [] for a, n in zip(bounds, size)])
+
+    def matches(self, blob: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, distance) of every item found in a text; the distance is the least to any part of the text."""
+        data, bounds = normalised(blob, offsets)
         found: dict[tuple[int, int], int] = {}
-        for start in range(0, len(word), 65_536):
-            some = slice(start, start + 65_536)
-            same = self.outputs(data, at[some], begin[some], end[some], anchor[some]) == self.sampled[anchor[some]]
-            for n in np.flatnonzero(same.all(axis=2).any(axis=1)) + start:
-                key = (int(text[word[n]]), int(self.item[anchor[n]]))
-                item = self.items[key[1]]
-                most = int(edits * len(item))
-                if found.get(key, most + 1) <= most:
-                    continue
-                left = max(int(begin[n]), int(at[n] - self.before[anchor[n]]) - most)
-                right = min(int(end[n]), int(at[n] + self.after[anchor[n]]) + most)
-                part = data[left:right].tobytes()
-                distance = infix_distance(item, part) if may_hold(item, part, most) else most + 1
-                if distance <= most:
-                    found[key] = distance
+        if len(self.item) and len(data):
+            self._near(data, bounds, found)
         return [(*key, distance) for key, distance in sorted(found.items())]
 
+    def _near(self, data: np.ndarray, bounds: np.ndarray, found: dict[tuple[int, int], int]) -> None:
+        size = np.array([len(i) for i in self.items], np.int64)
+        longest, width = int(size[self.long].max()), self.most + 1
+        reach = int((size + self.most)[self.long].max()) + GRAM
+        step = max(reach, min(STEP, len(data), int(CELLS / (1 / width[self.long]).sum())))
+        bands = np.zeros(len(size), np.int64)
+        bands[self.long] = (step + reach + longest) // width[self.long] + 2
+        base = np.cumsum(bands) - bands
+        least, numbers = np.repeat(self.least, bands), runs(data)
+        # The band is the diagonal by the width, rounded down: the half keeps products of floats off whole numbers.
+        shift, share = base[self.item], 1 / width[self.item]
+        ahead = (longest - self.place + 0.5) * share
+        for start in range(0, len(data), step):
+            counts = np.zeros(len(least) + 1, np.int64)
+            for at, row in self.counted.pairs(*self.counted.find(numbers[start:start + step + reach])):
+                counts += np.bincount(shift[row] + (at * share[row] + ahead[row]).astype(np.int64), minlength=len(counts))
+            for cell in np.flatnonzero(counts[:-1] + counts[1:] >= least).tolist():
+                n = int(np.searchsorted(base, cell, side="right")) - 1
+                low = start + (cell - int(base[n])) * int(width[n]) - longest
+                self._verify(data, numbers, bounds, n, low - int(self.most[n]), low + 2 * int(width[n]) + int(size[n] + self.most[n]), found)
+
+    def _verify(self, data: np.ndarray, numbers: np.ndarray, bounds: np.ndarray, n: int, low: int, high: int, found: dict[tuple[int, int], int]) -> None:
+        """The texts between two places against item ``n``."""
+        item, most = self.items[n], int(self.most[n])
+        text = int(np.searchsorted(bounds, max(low, 0), side="right")) - 1
+        while text < len(bounds) - 1 and bounds[text] < high:
+            left, right = max(low, int(bounds[text])), min(high, int(bounds[text + 1]) - 1)
+            best = found.get((text, n), most + 1)
+            if best and right - left >= len(item) - most:
+                there = set(numbers[left:max(left, right - GRAM + 1)].tolist())
+                if sum(map(there.__contains__, self.runs_of[n])) >= len(self.runs_of[n]) - GRAM * (best - 1):
+                    distance = infix_distance(item, data[left:right].tobytes())
+                    if distance < best:
+                        found[text, n] = distance
+            text += 1
+
 
 def pieces(text: str) -> list[str]:
-    """The words of a text in runs of about equal number, LONG at most."""
-    found = text.split()
+    """The words of a lower-cased text in runs of about equal number, LONG at most; the characters if a word has more than
+    LONG_CHARS. None without any letter or digit."""
+    found = WORD.findall(text)
+    if max(map(len, found), default=0) > LONG_CHARS:
+        whole = " ".join(found)
+        count = -(-len(whole) // LONG_CHARS)
+        return [whole[n * len(whole) // count:(n + 1) * len(whole) // count] for n in range(count)]
     count = -(-len(found) // LONG)
     return [" ".join(found[n * len(found) // count:(n + 1) * len(found) // count]) for n in range(count)]
 
@@ -235,35 +246,6 @@ def infix_distance(item: bytes, text: bytes) -> int:
     return best
 
 
-def term_counts(docs: DataFrame, texts: list[str]) -> dict[int, int]:
-    """How often the words and pairs of words of items occur in all texts of ``docs`` (__text): a fixed table for each task, summed in pieces."""
-    raw = [t.encode() for t in texts]
-    wanted = np.unique(np.append(normalised(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64))[3], U(0)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(wanted), np.int64)
-        for _, blob, offsets in slices(batches, "__text"):
-            terms = normalised(blob, offsets)[3].ravel()
-            at = np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)
-            total += np.bincount(at[wanted[at] == terms], minlength=len(wanted))
-            total[0] += len(terms) // 2 - int((terms == 0).sum())  # under 0, the end of each text is counted already
-        pieces = [p.tobytes() for p in np.array_split(total, PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, some in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
-                totals[piece] = totals.get(piece, 0) + np.frombuffer(some, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["piece", "counts"])
-
-    schema = "piece int, counts binary"
-    rows = docs.select("__text").mapInArrow(tidy(count), schema).repartition(PIECES, "piece").mapInArrow(tidy(add), schema).collect()
-    if not rows:
-        return {}
-    return dict(zip(wanted.tolist(), np.concatenate([np.frombuffer(row.counts, np.int64) for row in sorted(rows)]).tolist()))
-
-
 def leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, text: str = "text") -> DataFrame:
     """``df`` with ``leaks``, the items (item_id, distance) found in each text, by item; none for null and empty texts.
 
@@ -277,13 +259,13 @@ def leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, text: str = "te
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
 
     def search(frame: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
-        index = spark.sparkContext.broadcast(Index.build(ids, texts, term_counts(texts_of, texts), edits))
+        index = spark.sparkContext.broadcast(Index.build(ids, texts, edits))
         schema = frame.select(*kept, F.col("__text"), F.expr(f"cast(null as {kind})").alias("leaks")).schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, blob, offsets in slices(batches, "__text"):
                 rows = [{row["item_id"]: row["distance"] for row in found or ()} for found in part.column("leaks").to_pylist()]
-                for n, item, distance in index.value.matches(blob, offsets, edits):
+                for n, item, distance in index.value.matches(blob, offsets):
                     name = index.value.ids[item]
                     rows[n][name] = min(distance, rows[n].get(name, distance))
                 found = pa.array([[{"item_id": i, "distance": d} for i, d in sorted(row.items())] for row in rows], arrow)
@@ -292,7 +274,6 @@ def leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, text: str = "te
         return frame.mapInArrow(tidy(run), schema)
 
     lower = F.coalesce(F.lower(F.col(text)).cast("binary"), F.lit(b"")).alias("__text")
-    texts_of = df.select(lower)
     frame = df.select(*kept, lower, F.expr(f"cast(array() as {kind})").alias("leaks"))
     ids, texts, size = [], [], 0
     for row in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.lower("text").alias("text")).orderBy("item_id", "text").toLocalIterator():
