@@ -168,6 +168,19 @@ def test_leaks_without_a_whole_word(spark):
     assert all(n in got[n] and got[n][n] <= len(text.split()) for n, text in items)
 
 
+def test_leaks_at_the_greatest_distance(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 10)))
+    items = [(n, " ".join(word() for _ in range(9 + 2 * n))) for n in range(40)]
+    texts = [" ".join((*(word() for _ in range(30)), edited(text, 0.15, rng), *(word() for _ in range(30)))) for _, text in items]
+    texts += ["z".join((texts[3], texts[5])), texts[6] + " " + items[6][1]]
+    got = leaks_of(spark, texts, items)
+    squeeze = lambda t: " ".join(t.split()).encode()
+    for d, text in enumerate(texts):  # what is there is found, at its least distance, and nothing else
+        distances = {n: decontaminate.infix_distance(squeeze(i), squeeze(text)) for n, i in items}
+        assert got[d] == {n: x for n, x in distances.items() if x <= int(decontaminate.EDITS * len(squeeze(items[n][1])))}
+
+
 def test_decontaminate_query(spark):
     norm = lambda t: " " + " ".join(w.decode() for w in __import__("re").findall(rb"[0-9a-z\x80-\xff]+", (t or "").lower().encode())) + " "
     docs = {r.doc_id: norm(r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
