@@ -181,6 +181,18 @@ def test_leaks_at_the_greatest_distance(spark):
         assert got[d] == {n: x for n, x in distances.items() if x <= int(decontaminate.EDITS * len(squeeze(items[n][1])))}
 
 
+def test_leaks_of_short_and_unspaced_items(spark):
+    chinese = "".join(chr(0x4E00 + (n * n * 31 + 7 * n) % 4000) for n in range(60))
+    slipped = "".join("一" if n % 15 == 7 else c for n, c in enumerate(chinese))
+    items = [(1, "What is art?"), (2, "no"), (3, "東京"), (4, chinese), (5, "ñu"), (6, "?!"), (7, chinese * 60)]
+    texts = ["so WHAT, is art", "what is artful", "snow, no", "nowhere", "私は東京にいます", f"前{slipped}後", "añu", "a ñu", "so what is", "art no? !", ""]
+    wanted = [{1: 0}, {}, {2: 0}, {}, {3: 0}, {4}, {}, {5: 0}, {}, {2: 0}, {}]
+    got = leaks_of(spark, texts, items)
+    assert set(got[5]) == {4} and got[5][4] > 0
+    assert [got[n] for n in range(len(texts)) if n != 5] == wanted[:5] + wanted[6:]
+    assert set(leaks_of(spark, ["前" + chinese * 60], items)[0]) == {4, 7}
+
+
 def test_decontaminate_query(spark):
     norm = lambda t: " " + " ".join(w.decode() for w in __import__("re").findall(rb"[0-9a-z\x80-\xff]+", (t or "").lower().encode())) + " "
     docs = {r.doc_id: norm(r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}

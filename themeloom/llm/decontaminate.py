@@ -22,8 +22,8 @@ from themeloom.llm.common import LOWER, documents, slices, table, tidy, words
 
 EDITS = 0.15
 """Greatest edit distance of a match as a share of the item's length."""
-LEAST_WORDS = 8
-"""Items of fewer words are no evidence and are not looked for."""
+LEAST_WORDS, LEAST_CHARS = 8, 32
+"""Items under both are looked for letter for letter only, as whole words where their script parts words."""
 GRAM = 5
 """Bytes of a run. An item of 15 bytes or more keeps at least one run at the allowed edits."""
 CELLS, EVENTS, STEP = 1 << 22, 1 << 21, 1 << 18
@@ -36,6 +36,8 @@ U = np.uint64
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+"""Code points of scripts without blanks between words."""
 
 
 def normalised(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,9 +114,13 @@ class Runs:
             start = stop
 
 
+def unspaced(char: str) -> bool:
+    return any(low <= ord(char) <= high for low, high in UNSPACED)
+
+
 @dataclass
 class Index:
-    """Items in their normalised form, and the counted runs of those that are looked for."""
+    """Items in their normalised form, the counted runs of the long ones and one run of each short one."""
 
     ids: list[int]
     items: list[bytes]
@@ -125,13 +131,14 @@ class Index:
     place: np.ndarray
     counted: Runs
     runs_of: list[list[int]]
+    short: list[tuple[int, np.ndarray, np.ndarray, Runs]]
 
     @classmethod
     def build(cls, ids: list[int], texts: list[str], edits: float = EDITS) -> Index:
         data, bounds = normalised(*joined(texts))
         items = [data[a:max(a, b - 1)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
         size = np.array([len(i) for i in items], np.int64)
-        short = np.array([i.count(b" ") + 1 < LEAST_WORDS for i in items], bool)
+        short = np.array([i.count(b" ") + 1 < LEAST_WORDS and len(i.decode("utf-8", "replace")) < LEAST_CHARS for i in items], bool)
         most = np.where(short, 0, (edits * size).astype(np.int64))
         long = np.flatnonzero(~short & (size >= GRAM))
         item = np.repeat(long, size[long] - GRAM + 1)
@@ -147,8 +154,21 @@ class Index:
         rank[order] = np.arange(len(item)) - begin[order]
         keep = rank >= (needed // 3)[item]
         least = needed - needed // 3
+        shorts = []
+        for width in range(1, GRAM + 1):
+            some = np.flatnonzero(short & (np.minimum(size, GRAM) == width))
+            if len(some):
+                at = np.array([cls._rarest(runs(data[bounds[n]:bounds[n] + size[n]], width)[:size[n] - width + 1]) for n in some])
+                held = Runs(runs(data, width)[bounds[some] + at])
+                shorts.append((width, some[held.rows], at[held.rows], held))
         counted = Runs(number[keep])
-        return cls(ids, items, most, long, least, item[keep][counted.rows], place[keep][counted.rows], counted, [runs(data[a:a + n])[:max(0, n - GRAM + 1)].tolist() if n else [] for a, n in zip(bounds, size)])
+        return cls(ids, items, most, long, least, item[keep][counted.rows], place[keep][counted.rows], counted, [runs(data[a:a + n])[:max(0, n - GRAM + 1)].tolist() if n else [] for a, n in zip(bounds, size)], shorts)
+
+    @staticmethod
+    def _rarest(numbers: np.ndarray) -> int:
+        """The place of the run with most letters that are not blanks; any would do."""
+        blanks = np.array([int(n).to_bytes(8, "little").count(32) for n in numbers])
+        return int(blanks.argmin())
 
     def matches(self, blob: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, distance) of every item found in a text; the distance is the least to any part of the text."""
@@ -156,6 +176,8 @@ class Index:
         found: dict[tuple[int, int], int] = {}
         if len(self.item) and len(data):
             self._near(data, bounds, found)
+        if self.short and len(data):
+            self._equal(data, bounds, found)
         return [(*key, distance) for key, distance in sorted(found.items())]
 
     def _near(self, data: np.ndarray, bounds: np.ndarray, found: dict[tuple[int, int], int]) -> None:
@@ -194,6 +216,21 @@ class Index:
                         found[text, n] = distance
             text += 1
 
+    def _equal(self, data: np.ndarray, bounds: np.ndarray, found: dict[tuple[int, int], int]) -> None:
+        whole = data.tobytes()
+        for width, some, place, held in self.short:
+            for at, row in held.pairs(*held.find(runs(data, width))):
+                start = at - place[row]
+                text = np.searchsorted(bounds, start, side="right") - 1
+                for begin, t, n in zip(start.tolist(), text.tolist(), some[row].tolist()):
+                    item = self.items[n]
+                    end = begin + len(item)
+                    if (t, n) in found or begin < 0 or end >= bounds[t + 1] or not whole.startswith(item, begin):
+                        continue
+                    chars = item.decode("utf-8", "replace")
+                    if (begin == bounds[t] or whole[begin - 1] == 32 or unspaced(chars[0])) and (whole[end] == 32 or unspaced(chars[-1])):
+                        found[t, n] = 0
+
 
 def pieces(text: str) -> list[str]:
     """The words of a lower-cased text in runs of about equal number, LONG at most; the characters if a word has more than
@@ -249,8 +286,9 @@ def infix_distance(item: bytes, text: bytes) -> int:
 def leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, text: str = "text") -> DataFrame:
     """``df`` with ``leaks``, the items (item_id, distance) found in each text, by item; none for null and empty texts.
 
-    ``items``: item_id, text. Items without an id or of fewer than LEAST_WORDS words are not looked for; of items that
-    repeat an id each is, and the least distance counts. A column named ``leaks`` is replaced; an empty table gives an
+    ``items``: item_id, text. Items without an id, or without any letter or digit, are not looked for; those under
+    LEAST_WORDS words and LEAST_CHARS characters are found where a text holds them letter for letter (distance 0). Of items
+    that repeat an id each is looked for, and the least distance counts. A column named ``leaks`` is replaced; an empty table gives an
     empty table. Items are read to the driver and sent to all tasks ITEM_BYTES at a time, whatever their number.
     """
     kept = [c for c in df.columns if c != "leaks"]
