@@ -157,6 +157,15 @@ def test_html_cases(spark):
     assert sorted(r.n_chars for r in rows) == [0, 0, 4 * 50_000 - 1] and html.main_text(df.limit(0), none).collect() == []
 
 
+def test_html_keeps_all_of_the_article():
+    body = "one two three four five six seven eight nine ten " * 3
+    weights = html.Weights({"p": 1.0, "li": -2.0, "td": -2.0, "h3": -1.0}, {})
+    inside = f"<p>{body}</p><h3>head</h3><ul><li>first<li>second</ul><table><tr><td>cell</table><p>{body}</p>"
+    wanted = [body.strip(), "head", "first", "second", "cell", body.strip()]
+    assert html.extract(f"<nav><li>menu</nav><article>{inside}</article><footer>end</footer>", weights).split("\n") == wanted
+    assert html.extract(f"<nav><li>menu</nav><div>{inside}</div><footer>end</footer>", weights).split("\n") == wanted
+
+
 def nearest(vectors, queries, k):
     out = []
     for q in sorted(queries):

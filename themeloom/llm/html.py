@@ -166,7 +166,7 @@ def extract(page: str | None, weights: Weights) -> str:
     blocks, block = [], []
     for token in found[best_first:best_end + 1]:
         if token.tag is None:
-            if not token.outside and weights.words.get(token.context, weights.word) > 0:
+            if not token.outside:
                 block.append(token.text)
         elif token.breaks:
             blocks.append("".join(block))
