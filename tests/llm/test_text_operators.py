@@ -83,6 +83,18 @@ def test_repeats(spark, hot_from):
     assert sorted(got, key=str) == sorted(brute.repeats(docs), key=str)
 
 
+@pytest.mark.parametrize("ids", [(1, 2), (5, brute.LAST), (None, None)])
+def test_repeats_among_rows_without_an_id(spark, ids):
+    rng = random.Random(6)
+    same, own = ("".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(2))
+    rows = [(ids[0], own), (ids[1], own[:70]), *[(None, same + str(n % 3)) for n in range(30)], (None, own), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffixes.repeats(df).collect()
+    assert len(got) == len(rows) and sum(same.encode() in bytes(r.kept) for r in got) == 1
+    if ids[0]:
+        assert [bytes(r.kept) for r in got if r.doc_id == ids[0]] == [own.encode()] and [bytes(r.kept) for r in got if r.doc_id == ids[1]] == [b""]
+
+
 def test_suffix_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op5_suffix_dedup(spark, FOLDER).collect()}
