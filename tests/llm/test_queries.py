@@ -25,4 +25,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.SQL) <= set(entry.oracle_sql())
-    assert sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES if name.startswith("op")) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES if name.startswith("op")) == list(range(1, 14))

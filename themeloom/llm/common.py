@@ -93,7 +93,7 @@ def hashes(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0
     padded = np.concatenate((blob, np.zeros(8, np.uint8)))
     eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(blob) + 1,), strides=(1,), writeable=False)
     left = (ends - starts).astype(np.int64)
-    out = mix(left.astype(np.uint64) + np.uint64(seed * 2 + 1) * np.uint64(0x9E3779B97F4A7C15))
+    out = mix(left.astype(np.uint64) + np.uint64((seed * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     at, live = starts.copy(), np.flatnonzero(left > 0)
     while len(live):
         n = np.minimum(left[live], 8).astype(np.uint64)
@@ -103,3 +103,16 @@ def hashes(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0
         left[live] -= 8
         live = live[left[live] > 0]
     return out
+
+
+CRC_SQL = """crc_steps AS (
+  SELECT i, i AS c, 0 AS n FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM crc_steps WHERE n < 8
+), crc_bytes AS (SELECT list(c ORDER BY i) AS crc_table FROM crc_steps WHERE n = 8)"""
+"""CTEs of the usual CRC-32 (polynomial 0xEDB88320) for DuckDB, which has no such function; the query is WITH RECURSIVE."""
+
+
+def crc_sql(text: str) -> str:
+    """The CRC-32 of an expression of ASCII text, for a FROM list that holds ``crc_bytes``."""
+    codes = f"list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
