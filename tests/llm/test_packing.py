@@ -1,0 +1,119 @@
+"""Packing against a plain best fit, the tokenizer itself, and exact optima."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from themeloom.llm import packing
+
+
+def test_words_equal_the_tokenizer():
+    draw = random.Random(1)
+    with open(packing.VOCABULARY, encoding="utf-8") as file:
+        words = packing.Words(file.read())
+    assert words.direct
+    tokenizer = Tokenizer.from_file(packing.VOCABULARY)
+    texts = ["", " ", "a\tb\x1cc", "<|endoftext|> x<|startoftext|>y", "don't I'LL 's ''s--'s", "ÀÉÎ ŒUVRE ΣΑΣ ǅ 日本語 x́ é", "a  b\n\nc d", "İstanbul ﬁ ½ 12.5", "x" * 100 + "É" * 70, "word, " * 30_000]
+    texts += ["".join(draw.choice("abcXYZ'.,-é ÉßǾ\n\t 19½<|>日Σς") for _ in range(60)) for _ in range(500)]
+    for text in texts:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def plain_best_fit(lengths, capacity):
+    rooms = []
+    for length in sorted(lengths, reverse=True):
+        fitting = [(room, n) for n, room in enumerate(rooms) if room >= length]
+        if fitting:
+            rooms[min(fitting)[1]] -= length
+        else:
+            rooms.append(capacity - length)
+    return sorted(rooms)
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying all."""
+    best = len(lengths)
+
+    def place(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(lengths):
+            best = len(rooms)
+            return
+        for n in {room: n for n, room in enumerate(rooms) if room >= lengths[at]}.values():
+            place(at + 1, [room - lengths[at] * (n == m) for m, room in enumerate(rooms)])
+        place(at + 1, [*rooms, capacity - lengths[at]])
+
+    place(0, [])
+    return best
+
+
+def test_best_fit_and_bound():
+    draw = random.Random(1)
+    for _ in range(200):
+        capacity = draw.choice((10, 50, 200))
+        lengths = np.array([draw.randint(1, capacity) for _ in range(draw.randint(0, 120))], np.int64)
+        sequence, offset, count = packing.best_fit(lengths, capacity)
+        filled = np.bincount(sequence, weights=lengths, minlength=count).astype(int)
+        assert sorted(capacity - filled) == plain_best_fit(lengths.tolist(), capacity)
+        for n in range(count):
+            end = 0
+            for at, length in sorted((offset[i], lengths[i]) for i in np.flatnonzero(sequence == n)):
+                assert at == end
+                end += length
+        assert packing.lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity) <= count
+    for _ in range(60):
+        lengths = [draw.randint(2, 20) for _ in range(9)]
+        exact = fewest(sorted(lengths, reverse=True), 20)
+        assert packing.lower_bound(np.bincount(lengths, minlength=21), 20) <= exact <= packing.best_fit(np.array(lengths), 20)[2]
+
+
+def checked(rows, capacity):
+    places = {}
+    for row in rows:
+        places.setdefault(row.sequence_id, []).append((row.offset, row.length))
+    for own in places.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return len(places)
+
+
+@pytest.mark.parametrize("part_rows", [40, 150, 10_000])
+def test_exchange_comes_close_to_the_bound(spark, part_rows):
+    draw = random.Random(part_rows)
+    lengths = [draw.choice((1, 2, 30, 334, 400, 667, 700, 999)) for _ in range(600)]
+    rows = packing.pack(spark.createDataFrame([(n, x, 5) for n, x in enumerate(lengths)], "deal long, length long, offset_of int"), 1000, part_rows).collect()
+    assert sorted((r.deal, r.length, r.offset_of) for r in rows) == sorted((n, x, 5) for n, x in enumerate(lengths))
+    count, bound = checked(rows, 1000), packing.lower_bound(np.bincount(lengths, minlength=1001), 1000)
+    alone = sum(packing.best_fit(np.array(lengths[n:n + part_rows]), 1000)[2] for n in range(0, len(lengths), part_rows))
+    assert bound <= count <= min(alone, bound * 1.03 + 1)
+
+
+def test_documents(spark):
+    tokenizer = Tokenizer.from_file(packing.VOCABULARY)
+    texts = [(1, "a b c"), (1, "a b c"), (None, None), (None, None), (2, ""), (3, "word " * 9000), (4, "x" * 5000)]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in texts], "doc_id int, text string, piece int, deal int, ids int")
+    pieces = packing.pieces(docs, with_ids=True)
+    rows = packing.pack(pieces).collect()
+    checked(rows, packing.CAPACITY)
+    found = sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    expected = []
+    for doc, text in texts:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for n, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at:at + 2048]
+            expected.append((str(doc), n, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert found == sorted(expected)
+    whole = packing.sequences(packing.pack(pieces)).collect()
+    assert sum(len(r.ids) for r in whole) == 4 * sum(r[3] for r in expected) and max(len(r.ids) for r in whole) <= 4 * 2048
+
+
+def test_no_documents(spark):
+    assert packing.pack(packing.pieces(spark.createDataFrame([], "doc_id long, text string"))).collect() == []

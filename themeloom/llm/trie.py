@@ -93,7 +93,7 @@ def rebuild(rows: DataFrame, group: int = 5) -> DataFrame:
     )
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "digest")))
     taken = lambda x: F.crc32(x.cast("string").cast("binary")) % (HEAD + 1)
-    first = F.when(c > 0, c).otherwise(F.coalesce(F.try_subtract(c, F.lit(group - 1)), c))
+    first = F.when(c > 0, c).otherwise(F.coalesce(F.try_subtract(c, F.lit(group - 1)), F.lit(-(1 << 63))))
     last = F.when(c < 0, c).otherwise(F.coalesce(F.try_add(c, F.lit(group - 1)), F.lit((1 << 63) - 1)))
     heirs = F.filter(F.sequence(first, last), lambda x: (x - x % group == c) & (taken(x) >= F.col("rank")))
     none = F.array().cast("array<struct<conv_id:bigint,place:int>>")
