@@ -10,7 +10,6 @@ they share can be emitted after a bounded lookahead.
 from __future__ import annotations
 
 import base64
-import re
 import struct
 from collections.abc import Iterator
 
@@ -28,31 +27,35 @@ FOLLOWERS = 20_000
 """Verdicts remembered for a token; beyond it they are worked out anew, with the same results."""
 LOOKAHEAD = 4096
 """Bytes after which tokens that nothing can change any more are emitted, whatever the length of the pre-token."""
-CHUNKS = 100_000
-"""Encoded chunks that a worker remembers; beyond it they are forgotten, with the same results."""
-
-# A blank between two characters that are no white space always starts a match, so texts can be cut there.
-UNEVEN = re.compile(r"\s | \s|^ | $")
+CHUNKS = 300_000
+"""Encoded chunks that a worker remembers in each of two generations; the older one is then forgotten, with the same results."""
+PACK = [struct.Struct(f"<{n}I").pack for n in range(65)]
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
-class Moves(dict):
-    """Bytes to the states that follow one state, worked out when first needed."""
+class State(dict):
+    """One state: bytes to the states that follow, worked out when first needed, and the outputs (back, verdicts, token) here."""
 
-    __slots__ = ("owner", "name")
+    __slots__ = ("owner", "name", "outputs")
 
     def __init__(self, owner: Transducer, name: bytes):
-        self.owner, self.name = owner, name
-
-    def __missing__(self, byte: int) -> int:
-        name, nodes = self.name + bytes((byte,)), self.owner.nodes
-        target = next(nodes[name[n:]] for n in range(len(name) + 1) if name[n:] in nodes)
-        self.owner.prepare(target)
-        self[byte] = target
-        return target
+        self.owner, self.name, self.outputs = owner, name, []
+        for n in range(len(name)):
+            if (token := owner.ranks.get(name[n:])) is not None:
+                verdicts = owner.verdicts.setdefault(token, Verdicts(owner, token))
+                if verdicts[-1]:
+                    self.outputs.append((n - len(name), verdicts, token))
+
+    def __missing__(self, byte: int) -> State:
+        name, states = self.name + bytes((byte,)), self.owner.states
+        target = next(name[n:] for n in range(len(name) + 1) if name[n:] in states)
+        if states[target] is None:
+            states[target] = State(self.owner, target)
+        self[byte] = states[target]
+        return states[target]
 
 
 class Verdicts(dict):
@@ -83,15 +86,9 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.nodes: dict[bytes, int] = {b"": 0}
-        for token in ranks:
-            for n in range(1, len(token) + 1):
-                self.nodes.setdefault(token[:n], len(self.nodes))
-        self.names = list(self.nodes)
-        self.moves: list[Moves | None] = [None] * len(self.nodes)
-        self.outputs: list[list[tuple[int, Verdicts]] | None] = [None] * len(self.nodes)
         self.verdicts: dict[int, Verdicts] = {}
-        self.prepare(0)
+        self.states: dict[bytes, State | None] = {token[:n]: None for token in ranks for n in range(1, len(token) + 1)}
+        self.start = self.states[b""] = State(self, b"")
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: join the neighbours of lowest rank, leftmost first, until none can be joined."""
@@ -107,29 +104,17 @@ class Transducer:
             parts[best:best + 2] = [parts[best] + parts[best + 1]]
         return [self.ranks[part] for part in parts]
 
-    def prepare(self, state: int) -> None:
-        if self.moves[state] is None:
-            name = self.names[state]
-            self.moves[state], ends = Moves(self, name), []
-            for n in range(len(name)):
-                if (token := self.ranks.get(name[n:])) is not None:
-                    verdicts = self.verdicts.setdefault(token, Verdicts(self, token))
-                    if verdicts[-1]:
-                        ends.append((n - len(name), verdicts))
-            self.outputs[state] = ends
-
     def encode(self, data: bytes) -> list[int]:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        moves, outputs, state = self.moves, self.outputs, 0
-        last, out = [-1], []  # last[i]: the token that ends the encoding of the first i bytes not yet emitted
+        state, last, out = self.start, [-1], []  # last[i]: the token that ends the encoding of the first i bytes not yet emitted
         for at in range(0, len(data), LOOKAHEAD):
-            for byte in data[at:at + LOOKAHEAD] if len(data) > LOOKAHEAD else data:
-                state = moves[state][byte]
-                for back, verdicts in outputs[state]:
+            for byte in data[at:at + LOOKAHEAD]:
+                state = state[byte]
+                for back, verdicts, token in state.outputs:
                     if verdicts[last[back]]:
+                        last.append(token)
                         break
-                last.append(verdicts.token)
             if at + LOOKAHEAD < len(data):
                 self._emit(last, out)
         return out + self._chain(last, len(last) - 1)
@@ -154,33 +139,52 @@ class Transducer:
 
 
 class Encoder(dict):
-    """Chunks of text to their ids as little-endian 32-bit integers, remembered up to CHUNKS."""
+    """Chunks of text to their ids as little-endian 32-bit integers, remembered in two generations of CHUNKS.
+
+    A blank between two characters that are no white space always starts a match, so texts are cut there. A chunk that
+    shows its blanks to stand otherwise is remembered as None, and its text is matched as a whole. Under the public pattern a
+    blank and letters are one match, so such chunks need no matching.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
+        self.older: dict[str, bytes | None] = {}
         self.transducer = Transducer(ranks)
         self.matches = regex.compile(pattern).findall
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CHUNKS:
-            self.clear()
-        parts = self.matches(chunk)
-        if len(parts) == 1:
-            ids = self.transducer.encode(chunk.encode())
-            found = struct.pack(f"<{len(ids)}I", *ids)
+        self.letters_match = pattern == public_tokenizers.PATTERN
+
+    def _packed(self, match: str) -> bytes:
+        ids = self.transducer.encode(match.encode())
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _matched(self, text: str) -> bytes:
+        return b"".join([self._packed(match) if match[-1].isspace() or match[1:2].isspace() else self[match] for match in self.matches(text)])
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        if chunk in self.older:
+            found = self.older[chunk]
+        elif self.letters_match and chunk[:1] == " " and chunk[1:].isalpha():
+            found = self._packed(chunk)
+        elif not chunk or chunk[-1].isspace() or chunk[1:2].isspace():
+            found = None
         else:
-            found = b"".join([self[part] for part in parts])
+            parts = self.matches(chunk)
+            found = self._packed(chunk) if parts == [chunk] else self._matched(chunk)
         if len(chunk) <= 64:
+            if len(self) >= CHUNKS:
+                self.older = dict(self)
+                self.clear()
             self[chunk] = found
         return found
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if UNEVEN.search(text):
-            return b"".join([self[match] for match in self.matches(text)])
         first, *rest = text.split(" ")
-        return b"".join([self[first], *[self[" " + chunk] for chunk in rest]])
+        try:
+            return b"".join([self[first], *[self[" " + chunk] for chunk in rest]])
+        except TypeError:  # a None among them
+            return self._matched(text)
 
 
 class Utf8Stream:
