@@ -53,3 +53,9 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = cut_lineage(stage(spark, empty, FOLDER))
         assert empty.count() == 0
+
+
+def test_texts_of_one_id_are_kept(spark):
+    docs = spark.createDataFrame([(1, ""), (1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (3, "x")], "doc_id long, text string")
+    rows = corpus_pipeline.keep_one_of_near_copies(spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, ""), (1, "one two three four five six"), (3, "x")]

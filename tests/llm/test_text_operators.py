@@ -37,8 +37,19 @@ def test_components(spark, length, num):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute.components(docs, length, num)
 
 
+def test_one_deletion_neighbourhoods(spark, monkeypatch):
+    rule = jaccard.Rule(4, 85, 100).fitted([(60, 10**6), (12, 10**6), (300, 10**6)], 0.9)
+    assert rule.deletes.any() and not rule.deletes.all()
+    monkeypatch.setattr(jaccard, "_fitted", lambda *_: rule)
+    rng = random.Random(6)
+    docs = [*enumerate(family(rng, 80, 60) + family(rng, 40, 12) + family(rng, 40, 300)), *edge_cases()]
+    got = jaccard.components(spark.createDataFrame([(d, t, 1) for d, t in docs], SCHEMA))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute.components(docs)
+
+
 def test_every_size_has_enough_segments():
-    for rule in (jaccard.Rule(), jaccard.Rule(5, 80, 100)):
+    busy = jaccard.Rule().fitted([(size, 10**6) for size in range(1, 400)], 0.9)
+    for rule in (jaccard.Rule(), jaccard.Rule(5, 80, 100), busy):
         for small in range(1, 400):
             for large in range(small, small * rule.den // rule.num + 1):
                 both = small + large

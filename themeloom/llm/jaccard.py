@@ -4,7 +4,8 @@ Two linked sets of sizes x <= y differ in at most h tokens. Hash the tokens into
 least the two sets are equal. Sizes are cut into bands so that linked sets lie in one band or in neighbouring ones, and
 each band has its own number of segments. A band may instead use half as many segments and add, for each, the segment
 without one of its tokens (one-deletion neighbourhoods): then one segment differs by a token at most. The cheaper of the
-two is taken, counting keys written and keys that meet by chance. Sets that share a key are candidates.
+two is taken, from the sets that the band holds and from how often two of them have a token in common by chance. Sets that
+share a key are candidates.
 
 Empty segments are not indexed. With s segments more than needed, a set with at most s empty ones still has enough; a set
 with more is indexed under further hash seeds too until it has enough, so two such sets meet under one of those.
@@ -32,29 +33,42 @@ PIVOTS = 16
 """Sets of a large group that are compared with all others first."""
 KEYS = 1_000_000
 """Keys that a task gathers before it sends them on."""
-BUCKETS = 3
-"""Buckets of keys for each shuffle partition: a bucket is held in memory as a whole."""
+BUCKET_KEYS = 400_000
+"""Keys of a bucket, about: a bucket is held in memory as a whole, so their number follows from the keys expected."""
 SEEDS = 12
-BY_CHANCE = 50.0
+PAIR_KEYS = 8
+"""Bytes that a candidate pair moves (two names, two sizes, parity bits) over those of a key."""
+SAMPLE_BITS = 6
+"""Tokens whose hash begins with so many zero bits stand for all when chance matches are estimated."""
 U = np.uint64
 
 
 class Rule:
-    """Shingle length, and the threshold ``num / den`` as a fraction."""
+    """Shingle length, the threshold ``num / den`` as a fraction, and the index plan of each size band.
 
-    def __init__(self, length: int = 4, num: int = 85, den: int = 100):
+    ``sets`` tells how many sets there are of a size, and ``rate`` how often two token occurrences of different sets are equal;
+    they only choose between plans that find the same links.
+    """
+
+    def __init__(self, length: int = 4, num: int = 85, den: int = 100, sets: list[tuple[float, int]] = (), rate: float = 0.0):
         self.length, self.num, self.den = length, num, den
-        self.starts, self.segments, self.needed, self.deletes = self._plan(1 << 40)
+        self.starts, self.segments, self.needed, self.deletes, self.keys = self._plan(1 << 40, sets, rate)
+
+    def fitted(self, sets: list[tuple[float, int]], rate: float) -> Rule:
+        return Rule(self.length, self.num, self.den, sets, rate)
 
     def least_common(self, sizes):
         """The least intersection of linked sets whose sizes add up to this."""
         return -(-self.num * sizes // (self.num + self.den))
 
-    def _plan(self, most: int) -> tuple[np.ndarray, ...]:
+    def _plan(self, most: int, sets: list[tuple[float, int]], rate: float) -> tuple[np.ndarray, ...]:
         starts = [1]
         while starts[-1] <= most:
             starts.append(starts[-1] * self.den // self.num + 1)
-        segments, needed, deletes = [], [], []
+        held = np.zeros(len(starts))
+        for size, count in sets:
+            held[np.searchsorted(starts, size, side="right") - 1] += count
+        segments, needed, deletes, keys = [], [], [], 0.0
         for k in range(len(starts) - 2):
             large = starts[k + 1] - 1
             total = large + min(starts[k + 2] - 1, large * self.den // self.num)
@@ -64,13 +78,19 @@ class Rule:
             empty = exact * math.exp(-per)
             exact += math.ceil(empty + 2.5 * math.sqrt(empty)) if h > 0 else 0  # seldom is a set short of segments then
             half = -(-(h + 1) // 2)
-            cost = exact * (1 + BY_CHANCE * math.exp(-starts[k] / exact))
-            cost_deletes = half * (1 + starts[k] / half + BY_CHANCE * math.exp(-starts[k] / half))
+            # A band's own sets and those of the band above are filed under its plan. Two segments meet by chance when
+            # neither holds a token that the other lacks, or one at most where a token may be left out.
+            filed, common = held[k] + held[k + 1], min(1.0, starts[k] * rate)
+            apart = lambda parts: starts[k] / parts * (1 - common)
+            pairs = exact * math.exp(-2 * apart(exact)) * -math.expm1(-starts[k] / exact * common) * filed * filed / 2
+            pairs_deletes = half * math.exp(-2 * apart(half)) * (1 + apart(half)) ** 2 * filed * filed / 2
+            cost, cost_deletes = exact * filed + PAIR_KEYS * pairs, (half + starts[k]) * filed + PAIR_KEYS * pairs_deletes
             use = h > 0 and cost_deletes < cost
             segments.append(half if use else exact)
             needed.append(h + 1)
             deletes.append(use)
-        return np.array(starts), np.array(segments), np.array(needed), np.array(deletes)
+            keys += filed * (half + starts[k] if use else exact)
+        return np.array(starts), np.array(segments), np.array(needed), np.array(deletes), keys
 
 
 def shingle_sets(blob: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,15 +259,27 @@ def _candidates(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
 
 
 def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, node (null without words) and parity bits of every row."""
+    """doc_id, n_shingles, node (null without words), parity bits and sampled tokens of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blob, offsets in slices(batches):
             found, of, sizes = shingle_sets(blob, offsets, rule.length)
             nodes = pa.array(signatures(found, sizes), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), nodes, pa.array(parities(found, of, sizes), pa.binary())], ["doc_id", "n_shingles", "node", "parity"])
+            some = found >> U(64 - SAMPLE_BITS) == 0
+            cuts = np.concatenate(([0], np.cumsum(np.bincount(of[some], minlength=part.num_rows)))).astype(np.int32)
+            sample = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found[some].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), nodes, pa.array(parities(found, of, sizes), pa.binary()), sample], ["doc_id", "n_shingles", "node", "parity", "sample"])
+
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, parity binary, sample array<long>")
+
 
-    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, parity binary")
+def _fitted(rule: Rule, info: DataFrame) -> Rule:
+    """The rule with plans that fit the distinct sets (size, sample): a row for each size class and two sums reach the driver."""
+    classes = F.floor(F.log(F.col("size").cast("double")) / math.log(rule.den / rule.num)) if rule.num < rule.den else F.floor(F.log2(F.col("size").cast("double")))
+    sets = [(row.size, row.sets) for row in info.groupBy(classes.alias("class")).agg(F.avg("size").alias("size"), F.count("*").alias("sets")).collect()]
+    often = info.select(F.explode("sample").alias("token")).groupBy("token").agg(F.count("*").cast("double").alias("n"))
+    all_, equal = often.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))).first()
+    return rule.fitted(sets, equal / all_ / all_ / (1 << SAMPLE_BITS) if all_ else 0.0)
 
 
 def _possible(rule: Rule, size_a: int, size_b: int, parity_a: bytes, parity_b: bytes) -> bool:
@@ -406,8 +438,10 @@ def components(df: DataFrame, rule: Rule | None = None, id: str = "doc_id", text
     docs = df.select(F.col(id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     described = cut_lineage(_describe(docs, rule))
     named = described.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
-    info = cut_lineage(named.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size"), F.max("parity").alias("parity")))
-    found = cut_lineage(_candidates(docs.where(F.col("doc_id").isNotNull()).select("text"), rule, BUCKETS * tasks(spark)))
+    info = cut_lineage(named.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size"), F.max("parity").alias("parity"), F.first("sample").alias("sample")))
+    rule = _fitted(rule, info)
+    parts = max(tasks(spark), math.ceil(rule.keys / BUCKET_KEYS))
+    found = cut_lineage(_candidates(docs.where(F.col("doc_id").isNotNull()).select("text"), rule, parts))
     side = lambda x: info.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}"))
     pairs = cut_lineage(_promising(found.where("NOT large").select("a", "b").join(side("a"), "a").join(side("b"), "b"), rule))
     stars = found.where("large")
