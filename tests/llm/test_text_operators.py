@@ -27,13 +27,15 @@ def edge_cases():
             (907, "x " * 3000), (908, "é à " * 40), (909, "é à " * 41), (None, None)]
 
 
-@pytest.mark.parametrize("length, num", [(4, 85), (5, 80)])
-def test_components(spark, length, num):
+@pytest.mark.parametrize("length, num, hot", [(4, 85, 2048), (5, 80, 60)])
+def test_components(spark, length, num, hot):
     rng = random.Random(length)
     texts = family(rng, 330, 60) + family(rng, 40, 12) + family(rng, 60, 300) + family(rng, 30, 7) + ["same text for all of these"] * 50
     docs = [*enumerate(rng.sample(texts, len(texts))), *edge_cases()]
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], SCHEMA)
-    got = jaccard.components(df, jaccard.Rule(length, num, 100))
+    rule = jaccard.Rule(length, num, 100)
+    rule.hot = hot
+    got = jaccard.components(df, rule)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute.components(docs, length, num)
 
 
@@ -70,6 +72,24 @@ def test_parity_bits_never_exceed_the_difference():
             assert jaccard._possible(rule, len(a), len(b), *bits)
 
 
+def test_what_sizes_and_parity_bits_connect():
+    rng, rule = np.random.default_rng(1), jaccard.Rule(5, 80, 100)
+    for _ in range(20):
+        bases, sets = [rng.integers(0, 1 << 63, rng.integers(5, 200)).astype(np.uint64) for _ in range(4)], []
+        for _ in range(40):
+            base = bases[rng.integers(0, 4)]
+            sets.append(np.unique(np.concatenate((base[rng.random(len(base)) > rng.choice([0, 0.02, 0.1, 0.3])], rng.integers(0, 1 << 63, rng.integers(0, 30)).astype(np.uint64)))))
+        sizes = np.array([len(x) for x in sets])
+        bits = [jaccard.parities(x, np.zeros(len(x), np.int64), np.array([len(x)]))[0] for x in sets]
+        expected = list(range(40))
+        for i in range(40):
+            for j in range(i):
+                if jaccard._possible(rule, int(sizes[i]), int(sizes[j]), bits[i], bits[j]):
+                    pair = expected[i], expected[j]
+                    expected = [min(pair) if x in pair else x for x in expected]
+        assert jaccard._connected(rule, sizes, bits).tolist() == expected
+
+
 def test_components_of_nothing(spark):
     assert jaccard.components(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -177,6 +177,11 @@ class Encoder(dict):
             self[chunk] = found
         return found
 
+    def forget(self) -> None:
+        """Drop the chunks, not the machine: a worker outlives its task and shares its executor's memory."""
+        self.clear()
+        self.older = {}
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -269,6 +274,7 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, patt
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, counts, pa.array(ids, pa.binary())], [*part.schema.names, "n_tokens", "ids"])
                 at += len(ids)
+        encoder.forget()
 
     return kept.mapInArrow(tidy(run), schema)
 

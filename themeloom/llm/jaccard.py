@@ -27,6 +27,9 @@ from themeloom.session import cut_lineage, tasks
 
 GROUP = 32
 """Sets that share a key are paired with each other up to this many; larger groups go through ``_block_links``, as exactly."""
+HOT = 2048
+"""Up to this many sets under a key are first split by their sizes and parity bits into those that can be connected at all."""
+PAIR, MEMBER, STAR = 0, 1, 2
 BLOCK = 256
 """Sets that a task compares with each other at a time in a large group."""
 PIVOTS = 16
@@ -51,11 +54,13 @@ class Rule:
     """
 
     def __init__(self, length: int = 4, num: int = 85, den: int = 100, sets: list[tuple[float, int]] = (), rate: float = 0.0):
-        self.length, self.num, self.den = length, num, den
+        self.length, self.num, self.den, self.hot = length, num, den, HOT
         self.starts, self.segments, self.needed, self.deletes, self.keys = self._plan(1 << 40, sets, rate)
 
     def fitted(self, sets: list[tuple[float, int]], rate: float) -> Rule:
-        return Rule(self.length, self.num, self.den, sets, rate)
+        rule = Rule(self.length, self.num, self.den, sets, rate)
+        rule.hot = self.hot
+        return rule
 
     def least_common(self, sizes):
         """The least intersection of linked sets whose sizes add up to this."""
@@ -192,7 +197,7 @@ def _stars(nodes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _candidates(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
-    """(a, b, large): pairs of sets that share a key; for keys of more than GROUP sets, a star over them, marked large."""
+    """(a, b, kind): PAIRs of sets that share a key; the MEMBERs b of keys a of more than GROUP sets; a STAR over those of more than HOT."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -202,8 +207,8 @@ def _candidates(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
             held.clear()
             # A hot key leaves the task as a star over its sets, and as just enough sets to be known as hot.
             rank = np.arange(len(keys)) - np.repeat(first, size)
-            stars = _stars(nodes, first[size > GROUP], size[size > GROUP])
-            keys, nodes = keys[rank <= GROUP], nodes[rank <= GROUP]
+            stars = _stars(nodes, first[size > rule.hot], size[size > rule.hot])
+            keys, nodes = keys[rank <= rule.hot], nodes[rank <= rule.hot]
             bucket = ((keys >> U(20)) % U(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             keys, nodes, bucket = keys[order], nodes[order], bucket[order]
@@ -230,7 +235,7 @@ def _candidates(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, small, large = [np.zeros(0, U)], [np.zeros(0, np.int64)], [], []
+        keys, nodes, small, stars = [np.zeros(0, U)], [np.zeros(0, np.int64)], [], []
         for batch in batches:
             for own, at, some in zip(*(batch.column(c).to_pylist() for c in ("nodes", "at", "keys"))):
                 own, some = np.frombuffer(own, np.int64), np.frombuffer(some, U)
@@ -238,24 +243,26 @@ def _candidates(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
                     keys.append(some)
                     nodes.append(own[np.frombuffer(at, np.uint16 if len(own) < 1 << 16 else np.uint32)])
                 else:
-                    large.append(own.reshape(-1, 2))
+                    stars.append(own.reshape(-1, 2))
         keys, nodes = np.concatenate(keys), np.concatenate(nodes)
         order = np.argsort(keys, kind="stable")
         same = np.diff(keys[order]) == 0
         order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order  # most keys are one set's
-        _, nodes, first, size = _groups(keys[order], nodes[order])
-        large.append(_stars(nodes, first[size > GROUP], size[size > GROUP]))
+        keys, nodes, first, size = _groups(keys[order], nodes[order])
+        stars.append(_stars(nodes, first[size > rule.hot], size[size > rule.hot]))
+        middle = np.repeat((size > GROUP) & (size <= rule.hot), size)
+        members = np.column_stack((keys.view(np.int64)[middle], nodes[middle]))
         for n in range(2, GROUP + 1):
             of = nodes[first[size == n][:, None] + np.arange(n)]
             a, b = np.triu_indices(n, 1)
             small.append(np.column_stack((of[:, a].ravel(), of[:, b].ravel())))
-        for pairs, kind in ((np.unique(np.concatenate(small), axis=0), False), (np.unique(np.concatenate(large), axis=0), True)):
+        for pairs, kind in ((np.unique(np.concatenate(small), axis=0), PAIR), (members, MEMBER), (np.unique(np.concatenate(stars), axis=0), STAR)):
             for at in range(0, len(pairs), 100_000):
                 part = pairs[at:at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array([kind] * len(part))], ["a", "b", "large"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array([kind] * len(part), pa.int32())], ["a", "b", "kind"])
 
     cells = docs.mapInArrow(tidy(send), "bucket int, nodes binary, at binary, keys binary")
-    return cells.repartition(parts, "bucket").mapInArrow(tidy(meet), "a long, b long, large boolean").distinct()
+    return cells.repartition(parts, "bucket").mapInArrow(tidy(meet), "a long, b long, kind int").distinct()
 
 
 def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -305,6 +312,72 @@ def _promising(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.mapInArrow(tidy(run), "a long, b long")
 
 
+def _connected(rule: Rule, sizes: np.ndarray, parities: list[bytes]) -> np.ndarray:
+    """For each set the first of those that possible links connect it with."""
+    folded = {}  # sets whose parity bits are at least so many bytes, and these bits folded to that
+    lengths = np.array([len(p) for p in parities])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths >= length)
+        rows = np.zeros((len(at), length), np.uint8)
+        for n, i in enumerate(at):
+            bits = np.frombuffer(parities[i], np.uint8)
+            while len(bits) > length:
+                wide = np.unpackbits(bits)
+                bits = np.packbits(wide[::2] ^ wide[1::2])
+            rows[n] = bits
+        folded[length] = at, rows
+    first = np.full(len(sizes), -1)
+    for start in range(len(sizes)):
+        if first[start] >= 0:
+            continue
+        first[start], todo = start, [start]
+        while todo:
+            i = todo.pop()
+            for length, (at, rows) in folded.items():
+                if length > lengths[i]:
+                    continue
+                # Shorter sets are compared at their own length, all others at this one's.
+                some = first[at] < 0
+                if length < lengths[i]:
+                    some &= lengths[at] == length
+                if not some.any():
+                    continue
+                mine = rows[np.searchsorted(at, i)]
+                both = sizes[at[some]] + sizes[i]
+                near = rule.den * np.minimum(sizes[at[some]], sizes[i]) >= rule.num * np.maximum(sizes[at[some]], sizes[i])
+                near &= np.bitwise_count(rows[some] ^ mine).sum(axis=1, dtype=np.int64) <= both - 2 * rule.least_common(both)
+                found = at[some][near]
+                first[found] = start
+                todo += found.tolist()
+    return first
+
+
+def _possible_stars(members: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): stars over the sets of each key (key, node, size, parity; at most HOT) that possible links connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            nodes = np.array([row[0] for row in held], np.int64)
+            first = _connected(rule, np.array([row[1] for row in held], np.int64), [row[2] for row in held])
+            other = first != np.arange(len(first))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[first[other]]), pa.array(nodes[other])], ["a", "b"])
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "size", "parity"))):
+                if key != now:
+                    if held:
+                        yield done()
+                    now, held = key, []
+                held.append(row)
+        if held:
+            yield done()
+
+    rows = members.select("key", "node", "size", "parity").repartition(tasks(members.sparkSession), "key").sortWithinPartitions("key")
+    return rows.mapInArrow(tidy(run), "a long, b long").distinct()
+
+
 def _common(rows_a: np.ndarray, a: np.ndarray, rows_b: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
     """Sizes of the intersections of the sets of two columns, row by row."""
     rows, tokens = np.concatenate((rows_a, rows_b)), np.concatenate((a, b))
@@ -443,8 +516,9 @@ def components(df: DataFrame, rule: Rule | None = None, id: str = "doc_id", text
     parts = max(tasks(spark), math.ceil(rule.keys / BUCKET_KEYS))
     found = cut_lineage(_candidates(docs.where(F.col("doc_id").isNotNull()).select("text"), rule, parts))
     side = lambda x: info.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}"))
-    pairs = cut_lineage(_promising(found.where("NOT large").select("a", "b").join(side("a"), "a").join(side("b"), "b"), rule))
-    stars = found.where("large")
+    pairs = cut_lineage(_promising(found.where(F.col("kind") == PAIR).select("a", "b").join(side("a"), "a").join(side("b"), "b"), rule))
+    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("node")).join(info, "node")
+    stars = cut_lineage(found.where(F.col("kind") == STAR).select("a", "b").unionByName(_possible_stars(members, rule)))
     needed = pairs.select("a").union(pairs.select("b")).union(stars.select("a")).union(stars.select("b")).toDF("node").distinct()
     needed = needed.join(info.select("node", "doc"), "node")
 
