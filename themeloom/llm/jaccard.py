@@ -374,7 +374,7 @@ def _possible_stars(members: DataFrame, rule: Rule) -> DataFrame:
         if held:
             yield done()
 
-    rows = members.select("key", "node", "size", "parity").repartition(tasks(members.sparkSession), "key").sortWithinPartitions("key")
+    rows = members.select("key", "node", "size", "parity").repartition(tasks(members.sparkSession), "key").sortWithinPartitions("key", "node")
     return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
