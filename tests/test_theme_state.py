@@ -77,14 +77,14 @@ def one_by_one(themes, links, suggestions):
     return rows, {(i, t) for (i, _), t in linked.items()}, applied, rejects
 
 
-def run(spark, themes, links, suggestions):
+def run(spark, themes, links, suggestions, run_rows=50_000):
     state = ThemeState(spark.createDataFrame(themes, THEME), spark.createDataFrame(links, LINK))
-    return apply_suggestions(state, spark.createDataFrame(suggestions, SUGGESTION), F.lit(NOW))
+    return apply_suggestions(state, spark.createDataFrame(suggestions, SUGGESTION), F.lit(NOW), run_rows)
 
 
-def check(spark, themes, links, suggestions):
+def check(spark, themes, links, suggestions, run_rows=50_000):
     rows, linked, applied, rejects = one_by_one(themes, links, suggestions)
-    out = run(spark, themes, links, suggestions)
+    out = run(spark, themes, links, suggestions, run_rows)
     assert {r["suggestion_id"]: r["error_code"] for r in out.rejects.collect()} == rejects
     assert {r["suggestion_id"]: r["theme_id"] for r in out.applied.collect()} == applied
     got = {r["id"]: {"name": r["name"], "description": r["description"], "into": r["merged_into_id"], "at": r["updated_at"]}
@@ -98,8 +98,8 @@ def theme(i, name, into=None):
     return (i, name, f"about {name}", into, OLD)
 
 
-@pytest.mark.parametrize("seed", [11, 12, 13])
-def test_random_histories(spark, seed):
+@pytest.mark.parametrize("seed, run_rows", [(11, 50_000), (12, 50_000), (13, 50_000), (14, 50_000), (12, 12), (13, 0)])
+def test_random_histories(spark, seed, run_rows):
     rng = random.Random(seed)
     themes = [theme(i, f"Name {i}", rng.randrange(1, i) if i > 4 and rng.random() < 0.3 else None) for i in range(1, 16)]
     links = list({(rng.randrange(1, 16), f"t{rng.randrange(5)}") for _ in range(20)})
@@ -111,7 +111,7 @@ def test_random_histories(spark, seed):
         ids = rng.sample([*range(1, 16), 99], count)
         topic = rng.choice("tT") + str(rng.randrange(6))
         suggestions.append((sid, action, name, f"d{sid}", ids, [topic], None))
-    check(spark, themes, links, suggestions)
+    check(spark, themes, links, suggestions, run_rows)
 
 
 def test_a_much_changed_theme_takes_few_rounds(spark):
@@ -149,3 +149,23 @@ def test_replaying_applies_once(spark):
     again = apply_suggestions(out.state, marked, F.lit(NOW))
     assert again.applied.count() == 0 and again.rejects.count() == 0
     assert again.state.themes.count() == 2
+
+
+def test_replay_of_the_given_tables(spark):
+    """Themes, links, results and errors of every pending suggestion of the relations, one by one."""
+    from themeloom.plans import relations as rel
+
+    folder = "/root/testdata/sf0.001"
+    state = ThemeState(rel.themes(spark, folder), rel.theme_topics(spark, folder))
+    chosen = rel.suggestions(spark, folder)
+    columns = ["id", "action", "proposed_name", "proposed_description", "existing_theme_ids", "topics", "materialized_at"]
+    themes = [tuple(r) for r in state.themes.select("id", "name", "description", "merged_into_id", "updated_at").collect()]
+    links = [tuple(r) for r in state.theme_topics.select("theme_id", "topic").collect()]
+    suggestions = [tuple(r) for r in chosen.select(*columns).collect()]
+    rows, linked, applied, rejects = one_by_one(themes, links, [(*s[:4], s[4] or [], s[5] or [], s[6]) for s in suggestions])
+    out = apply_suggestions(state, chosen, F.lit(NOW))
+    assert {r["suggestion_id"]: r["error_code"] for r in out.rejects.collect()} == rejects
+    assert {r["suggestion_id"]: r["theme_id"] for r in out.applied.collect()} == applied and applied
+    got = {r["id"]: {"name": r["name"], "description": r["description"], "into": r["merged_into_id"], "at": r["updated_at"]} for r in out.state.themes.collect()}
+    assert got == rows
+    assert sorted((r["theme_id"], r["topic"]) for r in out.state.theme_topics.collect()) == sorted(linked)
