@@ -1,0 +1,53 @@
+"""Answers asked for once, and errors as they are stored."""
+
+import datetime
+import uuid
+
+from pyspark.sql import functions as F
+
+from themeloom import providers
+from themeloom.operators import jobs
+
+NOW = datetime.datetime(2024, 1, 1)
+
+
+def numbered(prompts):
+    """A new answer for every prompt that is asked, equal prompts or not."""
+    return [f"{prompt}/{uuid.uuid4().hex}" for prompt in prompts]
+
+
+def test_equal_prompts_are_asked_once_and_known_ones_never(spark):
+    prompts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "")], "prompt_id long, prompt string")
+    first, results = providers.answer_once(prompts, "m", numbered, batch_size=2)
+    said = {r.prompt_id: r.response for r in first.collect()}
+    assert said[1] == said[2] and said[1].startswith("a/") and said[3].startswith("b/") and said[4] is None and said[5].startswith("/")
+    assert results.count() == 3
+    assert {r.prompt_id: r.response for r in first.collect()} == said  # reading again asks nothing
+    more = prompts.union(spark.createDataFrame([(6, "c")], "prompt_id long, prompt string"))
+    again, all_ = providers.answer_once(more, "m", numbered, results)
+    later = {r.prompt_id: r.response for r in again.collect()}
+    assert {k: later[k] for k in said} == said and later[6].startswith("c/") and all_.count() == 4
+    other, _ = providers.answer_once(prompts, "another model", numbered, results)
+    assert not {r.response for r in other.collect() if r.response} & set(said.values())
+
+
+def test_no_prompts(spark):
+    said, results = providers.answer_once(spark.createDataFrame([], "prompt_id long, prompt string"), "m", numbered)
+    assert said.collect() == [] and results.collect() == []
+
+
+def test_stored_errors(spark):
+    rows = [(1, "processing", 0), (2, "processing", 4), (3, "pending", 1), (4, "processing", 1)]
+    schema = "id long, status string, attempts int, available_at timestamp, locked_at timestamp, locked_by string, last_error string"
+    held = spark.createDataFrame([(i, s, n, NOW, NOW, "w", "old") for i, s, n in rows], schema)
+    later = NOW + datetime.timedelta(seconds=60)
+    errors = spark.createDataFrame([(1, "é" * 5000, later), (1, "first", NOW), (2, "x", later), (3, "y", later)], "id long, error string, failed_at timestamp")
+    got = {r.id: tuple(r)[1:] for r in jobs.store_failures(held, errors).collect()}
+    assert got == {
+        1: ("pending", 1, later + datetime.timedelta(seconds=5), None, None, "é" * 4000),
+        2: ("failed", 5, NOW, None, None, "x"), 3: ("pending", 1, NOW, NOW, "w", "old"), 4: ("processing", 1, NOW, NOW, "w", "old"),
+    }
+
+
+def test_clip_error(spark):
+    assert spark.range(1).select(jobs.clip_error(F.lit("ab")).alias("e")).first().e == "ab"

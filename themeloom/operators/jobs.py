@@ -130,3 +130,32 @@ def status_transitions(history: DataFrame) -> DataFrame:
 
 def clip_error(text: Column) -> Column:
     return F.substring(text, 1, MAX_ERROR_CHARS)
+
+
+def store_failures(
+    jobs: DataFrame,
+    errors: DataFrame,
+    base: float = RETRY_BASE_SECONDS,
+    cap: float = RETRY_MAX_SECONDS,
+    max_attempts: int = MAX_ATTEMPTS,
+) -> DataFrame:
+    """``jobs`` after the failures of (id, error, failed_at): one more attempt, the error's first characters, no lock.
+
+    Only jobs in processing can fail; other rows of ``errors`` change nothing.  Of several errors of one job the last counts.
+    A job that may be tried again waits for its delay; one that may not keeps its time.
+    """
+    last = errors.groupBy("id").agg(F.max(F.struct("failed_at", "error")).alias("_last"))
+    joined = jobs.join(last, "id", "left").withColumn("_fails", F.col("_last").isNotNull() & (F.col("status") == "processing"))
+    attempts = F.col("attempts") + 1
+    terminal, when = attempts >= max_attempts, F.col("_last.failed_at")
+    waits = _plus_seconds(when, retry_delay(attempts, base, cap))
+    changes = {
+        "status": F.when(terminal, "failed").otherwise("pending"),
+        "available_at": F.when(terminal, F.col("available_at")).otherwise(waits),
+        "last_error": clip_error(F.col("_last.error")),
+        "locked_at": F.lit(None).cast("timestamp"), "locked_by": F.lit(None).cast("string"),
+        "attempts": attempts,
+    }
+    return joined.select(*[
+        F.when(F.col("_fails"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in jobs.columns
+    ])

@@ -664,6 +664,18 @@ def segmentation_decisions(spark, d):
     return good.union(bad)
 
 
+@query("answered_segmentation", """SELECT i.id AS input_id, CASE WHEN len(ls) >= 2 AND len(list_distinct(ls)) = len(ls) THEN len(ls) ELSE 0 END AS segments
+FROM q_inputs i JOIN q_lines l ON l.doc_id = i.id""")
+def answered_segmentation(spark, d):
+    """Segments from a model's answers: the even inputs first, then all, of which known answers are not asked again."""
+    prompts = providers.segmentation_prompts(rel.inputs(spark, d))
+    _, results = providers.answer_once(prompts.where("prompt_id % 2 = 0"), "offline", providers.line_model)
+    said, _ = providers.answer_once(prompts, "offline", providers.line_model, results)
+    decided = seg.apply_segmentation(said.select(F.col("prompt_id").alias("input_id"), "response"))
+    counted = decided.segments.groupBy(F.col("original_input_id").alias("input_id")).agg(F.count(F.lit(1)).alias("segments"))
+    return decided.status_updates.select("input_id").join(counted, "input_id", "left").fillna(0, ["segments"])
+
+
 def _vector_context(spark, d):
     found = neighbors.knn_evidence(rel.vector_targets(spark, d), rel.vector_evidence(spark, d), 5)
     texts = rel.vectors(spark, d).select("segment_id", "segment_text")
@@ -1245,6 +1257,19 @@ def retry_fold(spark, d):
         "event_id", "job_type", "original_input_id", "attempts", "delay_seconds", "status", stamp("available_at"))
 
 
+@query("store_failures", """SELECT j.id, CASE WHEN j.status <> 'processing' THEN j.status WHEN j.attempts + 1 >= 5 THEN 'failed' ELSE 'pending' END AS status,
+  j.attempts + (j.status = 'processing')::INT AS attempts,
+  CASE WHEN j.status = 'processing' THEN left(i.original_text, 4000) ELSE j.last_error END AS last_error
+FROM q_jobs j LEFT JOIN q_inputs i ON i.id = j.original_input_id WHERE j.status <> 'processing' OR i.id IS NOT NULL""")
+def store_failures(spark, d):
+    """Jobs in processing fail with their whole input as the error, of which the first 4,000 characters are kept."""
+    known = rel.inputs(spark, d).select(F.col("id").alias("original_input_id"), F.col("original_text").alias("error"))
+    held = rel.jobs(spark, d)
+    errors = held.join(known, "original_input_id").select("id", "error", F.col("available_at").alias("failed_at"))
+    kept = held.join(errors.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left").where("status <> 'processing' OR _id IS NOT NULL").drop("_id")
+    return jobs.store_failures(kept, errors).select("id", "status", "attempts", "last_error")
+
+
 RETRY_STATE = f"""SELECT job_type, original_input_id, {RETRY} FROM (
   SELECT job_type, original_input_id, count(*) AS attempts, max(failed_at) AS failed_at FROM q_failures GROUP BY 1, 2)"""
 
