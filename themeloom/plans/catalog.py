@@ -16,7 +16,7 @@ from themeloom.operators import theme_state, themes, topics
 from themeloom.plans import reference_sql as ref
 from themeloom.plans import relations as rel
 from themeloom.session import configure, cut_lineage, work_folder
-from themeloom.sources import tables
+from themeloom.sources import buckets, tables
 from themeloom.streaming import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +142,17 @@ def upsert_do_update(spark, d):
     return tables.upsert_latest(log.where("event_id % 2 = 0"), log.where("event_id % 2 = 1"), jobs.JOB, "event_id")
 
 
+@query("bucketed_upsert", """SELECT job_type, original_input_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type
+FROM q_attempts GROUP BY 1, 2""")
+def bucketed_upsert(spark, d):
+    """The attempt log in two versions of a bucketed table, the second of them written twice."""
+    folder = work_folder(spark)
+    log = rel.attempts(spark, d).select("job_type", "original_input_id", "event_id", "event_type")
+    for version, part in ((0, 0), (1, 1), (1, 1)):
+        buckets.upsert_buckets(log.where(f"event_id % 2 = {part}"), folder, jobs.JOB, ["event_id"], version, 16)
+    return buckets.read_buckets(spark, folder, "job_type string, original_input_id long, event_id long, event_type string")
+
+
 @query("vector_codec", """SELECT vec_id, len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""")
 def vector_codec(spark, d):
     back = vec.from_text(vec.to_text(F.col("embedding")))
