@@ -310,4 +310,5 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every whole text of ``documents``; null and empty texts have no ids, no row is merged (see ``encode``)."""
     return digests(encode(documents(spark, sf_dir))).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -215,5 +215,6 @@ def main_text(pages: DataFrame, weights: Weights, html: str = "html") -> DataFra
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``; null and empty html gives an empty text, repeated rows each their own (see ``main_text``)."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     return main_text(pages, learn(pages))

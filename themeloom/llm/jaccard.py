@@ -541,6 +541,7 @@ def components(df: DataFrame, rule: Rule | None = None, id: str = "doc_id", text
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every row of ``documents``; blank and null texts are linked with nothing, ids that repeat are one document (see ``components``)."""
     return components(documents(spark, sf_dir))
 
 

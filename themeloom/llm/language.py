@@ -168,5 +168,6 @@ def identify(pages: DataFrame, languages: list[str], model: np.ndarray) -> DataF
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every row of ``pages``; missing evidence says nothing, ties go to the first language in order (see ``identify``)."""
     model = text_model(table(spark, sf_dir, "documents", "lang", "text"))
     return identify(table(spark, sf_dir, "pages", "page_id", "url", "html"), *model)

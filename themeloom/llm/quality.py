@@ -215,6 +215,7 @@ def score(df: DataFrame, vectors: np.ndarray, network: Network, text: str = "tex
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every row of ``documents``; null and empty texts are scored as texts without words (see ``score``)."""
     docs = documents(spark, sf_dir)
     scored = score(docs, *train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -97,6 +97,7 @@ def shard(df: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of ``documents``; null texts count as empty, null and repeated ids get slots of their own (see ``shard``)."""
     return shard(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens",
     )

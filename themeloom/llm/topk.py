@@ -165,6 +165,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", ve
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every vec_id divisible by 20; vectors that are null or hold no finite number take no part, ties go to the smaller id (see ``top_k``)."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return top_k(vectors, vectors.where("vec_id % 20 = 0"))
 

@@ -199,6 +199,7 @@ def archive(pages: DataFrame, folder: str) -> tuple[str, str]:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of ``pages`` as it is read back from the archives; null html is an empty payload (see ``archive``)."""
     archives, _ = archive(table(spark, sf_dir, "pages", "page_id", "url", "html"), work_folder(spark))
     return read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
