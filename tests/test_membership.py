@@ -1,0 +1,69 @@
+"""Clusters kept up by batches equal those computed from all members."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from themeloom.operators import clusters, membership
+from themeloom.sources import buckets
+
+SCHEMA = "topic_key string, entity_type string, entity_id long"
+
+
+def stored(spark, folder):
+    blocks = buckets.read_buckets(spark, f"{folder}/blocks", membership.BLOCKS)
+    return {r.topic_key: r.fingerprint for r in clusters.topic_digests(blocks).collect()}
+
+
+def test_random_additions_and_removals(spark, tmp_path):
+    """Ids over several ranges and blocks; every version equals the full computation, also when written twice."""
+    rng, folder, held = random.Random(3), str(tmp_path), set()
+    ids = [1, 9_999, 10_000, 25_000, 99_999_999, 100_000_000, 300_000_007]
+    pool = [(t, kind, n + d) for t in ("tea", "hot", "") for kind in ("original", "segment") for n in ids for d in (0, 2)]
+    for version in range(5):
+        added = set(rng.sample(pool, 20))
+        removed = set(rng.sample(sorted(held), len(held) // 3)) | set(rng.sample(pool, 3)) if version < 4 else held | {("none", "segment", 5)}
+        added = added if version < 4 else {("tea", "segment", 77)}
+        before, held = held, (held - removed) | added
+        for _ in range(2):
+            got = membership.update_fingerprints(
+                spark.createDataFrame(sorted(added), SCHEMA), spark.createDataFrame(sorted(removed), SCHEMA), folder, version, 8)
+            found = {r.topic_key: r.fingerprint for r in got.collect()}
+        full = {r.topic_key: r.fingerprint for r in clusters.cluster_fingerprints(spark.createDataFrame(sorted(held), SCHEMA)).collect()}
+        assert stored(spark, folder) == full
+        assert found == {t: full.get(t) for t, _, _ in added | removed}
+        assert {t for t, _, _ in before ^ held} <= set(found)
+
+
+def test_untouched_ranges_are_not_read(spark, tmp_path):
+    """A batch of new ids reads and writes the buckets of their own ranges; the others keep the version they were written in."""
+    folder = str(tmp_path)
+    many = spark.range(0, 400_000, 100).select(F.lit("hot").alias("topic_key"), F.lit("original").alias("entity_type"), F.col("id").alias("entity_id"))
+    none = many.limit(0)
+    membership.update_fingerprints(many, none, folder, 0, 64).collect()
+    before = buckets.manifest(spark, f"{folder}/members")
+    new = spark.createDataFrame([("hot", "original", 399_999), ("hot", "original", 399_998)], SCHEMA)
+    got = membership.update_fingerprints(new, none, folder, 1, 64)
+    after = buckets.manifest(spark, f"{folder}/members")
+    assert len(before) > 20 and [b for b in after if after[b] == 1] == [b for b in after if after[b] != before.get(b)] and sum(v == 1 for v in after.values()) == 1
+    read = [f for f in buckets.read_buckets(spark, f"{folder}/members", membership.MEMBERS).inputFiles() if "version=1" in f]
+    assert read and got.first().fingerprint == clusters.cluster_fingerprints(many.unionByName(new)).first().fingerprint
+
+
+def test_clusters_of_batches(spark, tmp_path):
+    """Names, counts and questions over all batches; nulls among questions; an empty batch changes nothing."""
+    schema = "topic_key string, entity_type string, entity_id long, topic string, question_id long, text string"
+    batches = [
+        [("tea", "original", 5, "Tea", 1, "a long and useful remark on tea"), ("tea", "segment", 6, "TEA", None, "ok"), ("milk", "original", 7, "milk", 2, None)],
+        [],
+        [("tea", "original", 8, "tea", 2, "x"), ("tea", "original", 9, "tea", 1, "the tea was served far too cold")],
+        [("sugar", "segment", 1, "Sugar", None, "")],
+    ]
+    seen = []
+    for version, rows in enumerate(batches):
+        seen += rows
+        units = spark.createDataFrame(rows, schema)
+        got = {r.topic_key: r.asDict() for r in membership.update_clusters(units, str(tmp_path), version, 8).collect()}
+        everything = spark.createDataFrame(seen, schema)
+        full = clusters.topic_clusters(everything).join(clusters.cluster_fingerprints(everything), "topic_key").collect()
+        assert got == {r.topic_key: r.asDict() for r in full if r.topic_key in {row[0] for row in rows}}

@@ -57,29 +57,50 @@ def first_member(df: DataFrame, *keys: str | Column, **aggregates: Column) -> Da
     }).drop("_original", "_segment")
 
 
-def topic_clusters(units: DataFrame) -> DataFrame:
-    """One row per topic: display name, member count, rich members, distinct questions.
-
-    Only aggregates are kept per topic, so a topic holding a third of all units is reduced
-    map-side; the members stay exploded in ``units``.  Texts are judged before the aggregation and
-    go no further.
-    """
+def spellings(units: DataFrame) -> DataFrame:
+    """What ``clusters_of`` needs of units, one row per topic, spelling and question; rows of several sets of units add up."""
     judged = units.select(
         "topic_key", "topic", "question_id", *MEMBER,
         F.when(low_information(F.col("text")), 0).otherwise(1).alias("_rich"),
     )
-    spelled = first_member(
-        judged, "topic_key", "topic", "question_id", _members=F.count(F.lit(1)), _richness=F.sum("_rich")
+    kind, number = F.col("entity_type"), F.col("entity_id")
+    return judged.groupBy("topic_key", "topic", "question_id").agg(
+        F.min(F.when(kind == "original", number)).alias("original"),
+        F.min(F.when(kind == "segment", number)).alias("segment"),
+        F.count(F.lit(1)).alias("members"), F.sum("_rich").alias("richness"),
     )
-    first_seen = F.struct(F.lower("topic"), *MEMBER, "topic")
+
+
+def add_spellings(parts: DataFrame) -> DataFrame:
+    """``spellings`` of several disjoint sets of units as those of all of them."""
+    return parts.groupBy("topic_key", "topic", "question_id").agg(
+        F.min("original").alias("original"), F.min("segment").alias("segment"),
+        F.sum("members").alias("members"), F.sum("richness").alias("richness"),
+    )
+
+
+def clusters_of(spelled: DataFrame) -> DataFrame:
+    """One row per topic from its spellings, as ``topic_clusters`` returns it."""
+    kind = F.when(F.col("original").isNotNull(), "original").otherwise("segment")
+    first_seen = F.struct(F.lower("topic"), kind, F.coalesce("original", "segment"), "topic")
     return spelled.groupBy("topic_key").agg(
         F.min_by("topic", first_seen).alias("topic_name"),
-        F.sum("_members").alias("member_count"),
-        F.sum("_richness").alias("rich_member_count"),
+        F.sum("members").alias("member_count"),
+        F.sum("richness").alias("rich_member_count"),
         F.countDistinct("question_id").alias("distinct_question_count"),
     )
 
 
+def topic_clusters(units: DataFrame) -> DataFrame:
+    """One row per topic: display name, member count, rich members, distinct questions.
+
+    Only aggregates are kept per topic, so a topic holding a third of all units is reduced
+    map-side; the members stay exploded in ``units``.  Texts are judged before the aggregation and
+    go no further.
+    """
+    return clusters_of(spellings(units))
+
+
 def eligible(clusters: DataFrame, min_rich: int = 2, min_questions: int = 3) -> DataFrame:
     """Enough rich members, or none at all but enough distinct questions."""
     if min_rich < 1 or min_questions < 1:
@@ -111,26 +132,34 @@ def cluster_fingerprints(units: DataFrame) -> DataFrame:
     blocks.  Ranges are cut by id, never by count, so equal members give equal fingerprints, and no
     task holds more of a topic than one range, one block, or one line for 10^8 ids.
     """
-    member = F.concat(F.lit("|"), F.col("entity_id").cast("string"))
-    ranges = _digests(
-        units.select("topic_key", *MEMBER, F.expr(f"entity_id div {IDS_PER_DIGEST}").alias("_range")),
-        ["topic_key", "entity_type", "_range"], "entity_id", member,
-    )
-    line = F.concat(F.lit("|"), F.col("_range").cast("string"), F.lit(":"), F.col("_digest"))
-    blocks = _digests(
-        ranges.withColumn("_block", F.expr(f"_range div {IDS_PER_DIGEST}")),
-        ["topic_key", "entity_type", "_block"], "_range", line,
-    )
-    line = F.concat(F.lit("|"), F.col("entity_type"), F.lit(":"), F.col("_block").cast("string"), F.lit(":"), F.col("_digest"))
-    lines = F.array_sort(F.collect_list(F.struct("entity_type", "_block", line.alias("line"))))
+    return topic_digests(block_digests(range_digests(units)))
+
+
+def range_digests(members: DataFrame) -> DataFrame:
+    """(topic_key, entity_type, range, digest) of the members of each range."""
+    ranged = members.select("topic_key", *MEMBER, F.expr(f"entity_id div {IDS_PER_DIGEST}").alias("range"))
+    return _digests(ranged, ["topic_key", "entity_type", "range"], "entity_id", F.concat(F.lit("|"), F.col("entity_id").cast("string")))
+
+
+def block_digests(ranges: DataFrame) -> DataFrame:
+    """(topic_key, entity_type, block, digest) of the ranges of each block."""
+    line = F.concat(F.lit("|"), F.col("range").cast("string"), F.lit(":"), F.col("digest"))
+    blocked = ranges.withColumn("block", F.expr(f"range div {IDS_PER_DIGEST}"))
+    return _digests(blocked, ["topic_key", "entity_type", "block"], "range", line)
+
+
+def topic_digests(blocks: DataFrame) -> DataFrame:
+    """(topic_key, fingerprint) of the blocks of each topic."""
+    line = F.concat(F.lit("|"), F.col("entity_type"), F.lit(":"), F.col("block").cast("string"), F.lit(":"), F.col("digest"))
+    lines = F.array_sort(F.collect_list(F.struct("entity_type", "block", line.alias("line"))))
     whole = F.array_join(F.transform(lines, lambda x: x["line"]), "")
     return blocks.groupBy("topic_key").agg(F.sha2(F.concat("topic_key", whole), 256).alias("fingerprint"))
 
 
 def _digests(df: DataFrame, key: list[str], order: str, line: Column) -> DataFrame:
-    """SHA-256 of the lines of each key in order, as ``_digest``."""
+    """SHA-256 of the lines of each key in order, as ``digest``."""
     lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
-    return df.groupBy(*key).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256).alias("_digest"))
+    return df.groupBy(*key).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256).alias("digest"))
 
 
 def sample_evidence(units: DataFrame, limit: int = 5) -> DataFrame:
