@@ -103,8 +103,10 @@ def test_pipeline_in_batches(spark, tmp_path):
     topics = {(r["entity_type"], r["entity_id"]): r["topic"] for r in tables.read_stage(spark, out, "topics").collect()}
     assert topics == {("original", 1): "Kettle", ("segment", 1): "Kettle", ("segment", 2): "Other", ("original", 3): "Kettle",
                       ("original", 5): "Room", ("original", 6): "Kettle", ("original", 7): "Room"}
-    themes = {b: sorted(r["name"] for r in tables.read_stage(spark, out, "themes").where(F.col("batch_id") == b).collect()) for b in range(3)}
+    themes = {b: sorted(r["name"] for r in stages.read_state(spark, out, b + 1).themes.collect()) for b in range(3)}
     assert themes == {0: ["Kettle"], 1: ["Kettle"], 2: ["Kettle", "Room"]}
+    changed = {b: sorted(r["name"] for r in tables.read_stage(spark, out, "themes").where(F.col("batch_id") == b).collect()) for b in range(3)}
+    assert changed == {0: ["Kettle"], 1: ["Kettle"], 2: ["Room"]}  # a batch writes what it changed
     asked = {r["action"]: r["topic_key"] for r in tables.read_stage(spark, out, "suggestions").where("batch_id = 1").collect()}
     assert asked == {"reuse": "kettle"}  # its membership grew
     assert tables.read_stage(spark, out, "embeddings").count() == 7

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from themeloom import providers
 from themeloom.functions import text as tx
 from themeloom.functions import vectors as vec
-from themeloom.operators import clusters, graph, intake, jobs, neighbors, organise, ordered, quality, reports
+from themeloom.operators import clusters, expectations, graph, intake, jobs, neighbors, organise, ordered, quality, reports
 from themeloom.operators import segments as seg
 from themeloom.operators import theme_state, themes, topics
 from themeloom.plans import reference_sql as ref
@@ -84,24 +84,32 @@ def arithmetic_topics(asked, votes):
     return asked.groupBy(F.col("original_input_id").alias("input_id")).agg(body.alias("response"))
 
 
-@query("stream_pipeline", """SELECT c.record_id AS id, 'completed' AS status, 'Subject ' || (c.record_id % 7) AS topic, 'Subject ' || (c.record_id % 7) AS theme,
+WAVES = 5
+
+
+@query("stream_pipeline", f"""SELECT c.record_id AS id, c.record_id * {WAVES} // (SELECT max(doc_id) + 1 FROM documents) AS batch_id, 'completed' AS status, 'Subject ' || (c.record_id % 7) AS topic, 'Subject ' || (c.record_id % 7) AS theme,
   CASE WHEN len(l.ls) >= 2 AND len(list_distinct(l.ls)) = len(l.ls) THEN len(l.ls) ELSE 0 END AS segments, c.form_key IS NOT NULL AS asked
 FROM (SELECT *, first_value(question_text) OVER (PARTITION BY source, form_key, question_key, question_version ORDER BY record_id) AS first_text
       FROM q_checked WHERE error_code IS NULL) c JOIN q_lines l ON l.doc_id = c.record_id
 WHERE c.form_key IS NULL OR c.question_text = c.first_text""")
 def stream_pipeline(spark, d):
-    """Records to themes as a stream: intake, questions, segments, embeddings, topics, themes."""
+    """Records to themes as a stream that stops and goes on: intake, questions, segments, embeddings, topics, themes.
+
+    Records arrive in five waves by id, each in as many files as it has, and each is a batch that meets the state of those before.
+    """
     folder, source = work_folder(spark), work_folder(spark)
-    rel.raw_records(spark, d).coalesce(1).write.parquet(source)
-    raw = stages.read_stream(spark, source, spark.read.parquet(source).schema)
-    stages.stream_pipeline(raw, folder, choose=arithmetic_topics)
+    records = cut_lineage(rel.raw_records(spark, d))
+    past = (records.agg(F.max("record_id")).first()[0] or 0) + 1
+    for wave in range(WAVES):
+        records.where((F.col("record_id") * WAVES >= wave * past) & (F.col("record_id") * WAVES < (wave + 1) * past)).write.mode("append").parquet(source)
+        stages.stream_pipeline(stages.read_stream(spark, source, records.schema), folder, choose=arithmetic_topics)
     done, named = tables.read_stage(spark, folder, "inputs"), tables.read_stage(spark, folder, "topics").where("entity_type = 'original'")
     pieces = tables.read_stage(spark, folder, "segments").groupBy(F.col("original_input_id").alias("id")).agg(F.count(F.lit(1)).alias("segments"))
-    links = tables.read_stage(spark, folder, "theme_topics").join(
-        tables.read_stage(spark, folder, "themes").select(F.col("id").alias("theme_id"), F.col("name").alias("theme")), "theme_id")
+    state = stages.read_state(spark, folder)
+    links = state.theme_topics.join(state.themes.select(F.col("id").alias("theme_id"), F.col("name").alias("theme")), "theme_id")
     shown = done.join(named.select(F.col("entity_id").alias("id"), "topic"), "id").join(links.select("topic", "theme"), "topic")
     return shown.join(pieces, "id", "left").select(
-        "id", "status", "topic", "theme", F.coalesce("segments", F.lit(0)).alias("segments"), F.col("question_id").isNotNull().alias("asked"))
+        "id", F.col("batch_id").cast("long").alias("batch_id"), "status", "topic", "theme", F.coalesce("segments", F.lit(0)).alias("segments"), F.col("question_id").isNotNull().alias("asked"))
 
 
 @query("append_sink", "SELECT id, original_input_id, segment_order, topic FROM q_segments")
@@ -1208,6 +1216,40 @@ def outcome_checks(spark, d):
     return quality.outcome_checks(rel.inputs(spark, d), rel.embeddings(spark, d), conflicts)
 
 
+OUTCOMES = [
+    expectations.none_of("all_terminal", "status NOT IN ('completed', 'ineligible')"),
+    expectations.some_of("ineligible", "status = 'ineligible'"),
+    expectations.some_of("answers_of_a_form", "form_key = 'en-f0' AND submission_key IS NOT NULL", 4),
+    expectations.some_of("answers_of_a_submission", "submission_key = 's1'", 3, 4),
+    expectations.some_of("in_two_segments", "question_id IS NOT NULL AND segments >= 2"),
+    expectations.some_of("first_version", "question_key = 'q1' AND question_version = 1"),
+    expectations.some_of("second_version", "question_key = 'q1' AND question_version = 2"),
+    expectations.none_of("question_in_vector", "question_id IS NOT NULL AND contextual < embeddings"),
+    expectations.none_of("no_question_in_vector", "question_id IS NULL AND generic < embeddings"),
+    expectations.some_of("completed_generic", "question_id IS NULL AND status = 'completed' AND generic > 0"),
+    expectations.Expectation("most_segments", "max(segments)", 2),
+]
+_NUMBER = lambda n: "NULL" if n is None else str(n)
+
+
+ref.VIEWS["q_outcomes"] = """
+SELECT i.id, i.status, i.submission_key, i.question_id, q.form_key, q.question_key, q.question_version,
+    (SELECT count(*) FROM q_segments s WHERE s.original_input_id = i.id) AS segments,
+    (SELECT count(*) FROM q_embeddings e WHERE e.original_input_id = i.id) AS embeddings,
+    (SELECT count(*) FROM q_embeddings e WHERE e.original_input_id = i.id AND e.embedding_representation = 'question-answer') AS contextual,
+    (SELECT count(*) FROM q_embeddings e WHERE e.original_input_id = i.id AND e.embedding_representation = 'answer-only') AS generic
+FROM q_inputs i LEFT JOIN q_questions q ON q.id = i.question_id"""
+
+
+@query("expected_outcomes", f"""SELECT name, measured, at_least, at_most,
+  coalesce(measured >= at_least, at_least IS NULL) AND coalesce(measured <= at_most, at_most IS NULL) AS met FROM (
+{" UNION ALL ".join(f"SELECT '{e.name}' AS name, CAST({e.measure} AS BIGINT) AS measured, CAST({_NUMBER(e.at_least)} AS BIGINT) AS at_least, CAST({_NUMBER(e.at_most)} AS BIGINT) AS at_most FROM q_outcomes" for e in OUTCOMES)})""")
+def expected_outcomes(spark, d):
+    """Outcomes written as a table, with what is expected of them counted on the way."""
+    found = expectations.outcomes(rel.inputs(spark, d), rel.questions(spark, d), rel.segments(spark, d), rel.embeddings(spark, d))
+    return expectations.write_checked(found, OUTCOMES, lambda rows: rows.write.parquet(work_folder(spark)))
+
+
 ref.VIEWS["q_tagged"] = """
 SELECT CASE id % 6 WHEN 0 THEN '  ' WHEN 1 THEN NULL WHEN 2 THEN ' Theme ' || (id // 10) || ' ' WHEN 3 THEN 'legacy ' || (id // 12)
   ELSE 'Legacy ' || (id // 12) END AS theme, CASE WHEN id % 7 = 0 THEN ' ' ELSE topic END AS topic FROM q_inputs"""
