@@ -84,7 +84,7 @@ def arithmetic_topics(asked, votes):
     return asked.groupBy(F.col("original_input_id").alias("input_id")).agg(body.alias("response"))
 
 
-WAVES = 5
+WAVES = 2
 
 
 @query("stream_pipeline", f"""SELECT c.record_id AS id, c.record_id * {WAVES} // (SELECT max(doc_id) + 1 FROM documents) AS batch_id, 'completed' AS status, 'Subject ' || (c.record_id % 7) AS topic, 'Subject ' || (c.record_id % 7) AS theme,
@@ -95,7 +95,7 @@ WHERE c.form_key IS NULL OR c.question_text = c.first_text""")
 def stream_pipeline(spark, d):
     """Records to themes as a stream that stops and goes on: intake, questions, segments, embeddings, topics, themes.
 
-    Records arrive in five waves by id, each in as many files as it has, and each is a batch that meets the state of those before.
+    Records arrive in two waves by id, each in as many files as it has, and each is a batch that meets the state of those before.
     """
     folder, source = work_folder(spark), work_folder(spark)
     records = cut_lineage(rel.raw_records(spark, d))
