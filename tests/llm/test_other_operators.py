@@ -189,6 +189,25 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_top_k_of_many_blocks_and_beyond_64_bits(spark, monkeypatch):
+    """Floors carried from a first block, identical blocks, components that no long holds."""
+    rng = np.random.default_rng(4)
+    rows = [(n, rng.normal(0, 0.2, 6).round(2).tolist()) for n in range(1, 500)] + [(7, [0.25] * 6)] * 60
+    rows += [(600, [1e300, -1e300, 1.0, 0.0, 0.0, 2.0]), (601, [1e17, 3e16, 1.0, 0.0, -5.0, 0.5]), (620, [-1.7e308] * 6), (602, [1e6] * 6), (640, [2.0**40 + 1] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, [64 * int(x) if abs(x) > 1e15 else int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    top = int(np.finfo(float).max)
+    whole = [(i, [max(-top, min(top, x)) for x in v]) for i, v in whole]
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 20 = 0"), 7).collect())
+    expected = []
+    for q, query in ((i, v) for i, v in whole if i % 20 == 0):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(query, v)))), i) for i, v in whole if i != q)[:7]
+        expected += [(q, rank, i, -score) for rank, (score, i) in enumerate(scores, 1)]
+    assert got == sorted(expected)
+
+
 def test_search_reads_few_vectors():
     rng = np.random.default_rng(5)
     vectors = np.floor(64 * rng.normal(0, 0.125, (4000, 32))).astype(np.int64)
