@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from themeloom import providers
 from themeloom.functions import text as tx
 from themeloom.functions import vectors as vec
-from themeloom.operators import clusters, expectations, graph, intake, jobs, neighbors, organise, ordered, quality, reports
+from themeloom.operators import clusters, expectations, graph, intake, jobs, neighbors, organise, ordered, quality, reports, root_state
 from themeloom.operators import segments as seg
 from themeloom.operators import theme_state, themes, topics
 from themeloom.plans import reference_sql as ref
@@ -381,6 +381,18 @@ def resolve_roots(spark, d):
     return graph.resolve_roots(rel.themes(spark, d))
 
 
+@query("root_deltas", "SELECT theme_id, root_id FROM q_roots")
+def root_deltas(spark, d):
+    """Themes arrive in two batches, and of the pointers of the first half only a third with them: the others are merges of the second."""
+    folder, themes_ = work_folder(spark), cut_lineage(rel.themes(spark, d).select("id", "merged_into_id"))
+    early = F.col("id") % 2 == 0
+    first = themes_.where(early).withColumn("merged_into_id", F.when(F.col("id") % 3 == 0, F.col("merged_into_id")))
+    later = themes_.where(~early | ((F.col("id") % 3 != 0) & F.col("merged_into_id").isNotNull()))
+    for version, batch in enumerate((first, later)):
+        root_state.update_roots(batch, folder, version)
+    return root_state.read_roots(spark, folder)
+
+
 @query("unresolved_ids", "SELECT id AS theme_id FROM q_themes WHERE id NOT IN (SELECT theme_id FROM q_roots)")
 def unresolved_ids(spark, d):
     base = rel.themes(spark, d)
@@ -434,6 +446,11 @@ def topk_global(spark, d):
     return topics.topic_usage(rel.inputs(spark, d), rel.segments(spark, d), 50)
 
 
+@query("most_used", "SELECT topic, usage_count FROM q_usage ORDER BY usage_count DESC, lower(topic), topic LIMIT 20")
+def most_used(spark, d):
+    return topics.most_used(rel.inputs(spark, d), rel.segments(spark, d), 20)
+
+
 @query("topic_clusters", "SELECT topic_key, topic_name, member_count, rich_member_count, distinct_question_count FROM q_clusters")
 def topic_clusters(spark, d):
     return clusters.topic_clusters(_units(spark, d))
