@@ -259,3 +259,14 @@ def test_language_evidence(spark):
     assert found[100].lang == "fr" and found[101].lang == "de" and found[103].lang == "es" and found[102].text_lang is None
     assert language.identify(df.limit(0), *model).collect() == []
     assert {r.lang for r in language.identify(df, [], model[1][:0]).collect()} == {None}
+
+
+def test_a_region_ends_with_the_article_that_holds_its_words():
+    weights = html.Weights({}, {})
+    words = " ".join(f"word{n}" for n in range(40))
+    page = f"<body><article><h1>Top</h1><p>{words}</p><p>a <math><mi>x</mi></math> b</p></article><section id='responses'><p>{words}</p><p>more</p></section></body>"
+    assert html.extract(page, weights) == f"Top\n{words}\na x b"
+    two = f"<article><p>{words} one</p></article><div><p>between</p></div><article><p>{words} two</p></article>"
+    assert html.extract(two, weights) == f"{words} one\n{words} two"
+    teaser = f"<div><p>{words}</p><p>{words}</p></div><article><p>see also</p></article>"
+    assert html.extract(teaser, weights).startswith(f"{words}\n{words}")

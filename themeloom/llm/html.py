@@ -19,10 +19,11 @@ LABELLED = 2_000
 """Pages at most that the weights are learned from: those of smallest hash among the pages that mark their article."""
 
 # Fixed values of HTML: elements whose content is no markup, elements that never hold main text, and inline elements.
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "xmp")
-ASIDE = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "math", "head", "object", "audio", "video", "canvas", "fieldset", "label")
+RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes")
+ASIDE = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "head", "object", "audio", "video", "canvas", "fieldset", "label")
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # What sites call the parts of a page that are not its article.
@@ -159,14 +160,19 @@ def extract(page: str | None, weights: Weights) -> str:
         best_first -= 1
     while -1 < best_end < len(found) - 1 and not found[best_end + 1].breaks:
         best_end += 1
-    main = max((token.main for token in found[best_first:best_end + 1] if token.tag is None), default=0)
-    if main:  # a region in an article takes in the short blocks at its ends
-        within = [n for n, token in enumerate(found) if token.main == main]
-        best_first, best_end = min(best_first, within[0]), max(best_end, within[-1])
+    words = Counter()
+    for token in found[best_first:best_end + 1]:
+        if token.tag is None and not token.outside:
+            words[token.main] += len(token.text.split())
+    mains = {main for main, n in words.items() if main and n}
+    clipped = bool(mains) and 2 * words[0] <= words.total()
+    if mains:  # a region in an article takes in the short blocks at its ends, and ends with it if that is where its words are
+        within = [n for n, token in enumerate(found) if token.main in mains]
+        best_first, best_end = (within[0], within[-1]) if clipped else (min(best_first, within[0]), max(best_end, within[-1]))
     blocks, block = [], []
     for token in found[best_first:best_end + 1]:
         if token.tag is None:
-            if not token.outside:
+            if not token.outside and (not clipped or token.main in mains):
                 block.append(token.text)
         elif token.breaks:
             blocks.append("".join(block))
