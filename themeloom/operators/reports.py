@@ -304,18 +304,31 @@ def suggestions_by_source(
 def theme_convergence(
     inputs: DataFrame, segments: DataFrame, questions: DataFrame, theme_topics: DataFrame, minimum: int = 2
 ) -> DataFrame:
-    """(source, form_key, theme_id, topics): themes that gather several topics within one form."""
+    """(source, form_key, theme_id, topics): themes that gather several topics within one form.
+
+    A theme with ``minimum`` topics in a form has one there that is not among its ``minimum`` - 1
+    commonest, so only forms of such rarer topics are paired with the theme; its commonest topics are
+    then looked up in those forms.  A topic of all forms and many themes is never paired with them.
+    """
     forms = questions.select(F.col("id").alias("question_id"), F.col("source").alias("question_source"), "form_key")
     asked = inputs.select(F.col("id").alias("input_id"), "question_id").join(forms, "question_id")
-    spoken = (
+    spoken = cut_lineage(
         input_topics(inputs, segments).join(asked, "input_id")
-        .select("question_source", "form_key", F.lower("topic").alias("topic_key")).distinct()
+        .select(F.col("question_source").alias("source"), "form_key", F.lower("topic").alias("topic_key")).distinct()
     )
-    links = theme_topics.select("theme_id", F.lower("topic").alias("topic_key")).distinct()
+    forms_of = spoken.groupBy("topic_key").agg(F.count(F.lit(1)).alias("forms"))
+    links = cut_lineage(theme_topics.select("theme_id", F.lower("topic").alias("topic_key")).distinct().join(forms_of, "topic_key"))
+    common = cut_lineage(first_rows(links, ["theme_id"], [F.desc("forms"), "topic_key"], minimum - 1).select("theme_id", "topic_key"))
+    taken = common.select(F.col("theme_id").alias("_theme"), F.col("topic_key").alias("_key"))
+    of_theme = F.col("theme_id").eqNullSafe(F.col("_theme"))
+    rare = links.join(taken, of_theme & (F.col("topic_key") == F.col("_key")), "left_anti")
+    group = ["source", "form_key", "theme_id"]
+    paired = cut_lineage(join_in_strips(spoken, rare.drop("forms"), "topic_key").groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
+    there = spoken.select(F.col("source").alias("_source"), F.col("form_key").alias("_form"), F.col("topic_key").alias("_topic"))
+    in_form = F.col("source").eqNullSafe(F.col("_source")) & F.col("form_key").eqNullSafe(F.col("_form")) & (F.col("_key") == F.col("_topic"))
+    also = paired.join(taken, of_theme).join(there, in_form, "left_semi").select(*group, F.lit(1).cast("long").alias("n"))
     return (
-        spoken.join(links, "topic_key")
-        .groupBy(F.col("question_source").alias("source"), "form_key", "theme_id")
-        .agg(F.countDistinct("topic_key").alias("topics"))
+        paired.unionByName(also).groupBy(*group).agg(F.sum("n").alias("topics"))
         .where(F.col("topics") >= minimum)
     )
 
