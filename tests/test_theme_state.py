@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from themeloom.operators import theme_state
 from themeloom.operators.theme_state import ThemeState, apply_suggestions, mark_materialized
 
 THEME = "id long, name string, description string, merged_into_id long, updated_at timestamp"
@@ -123,6 +124,19 @@ def test_a_much_changed_theme_takes_few_rounds(spark):
     check(spark, themes, links, suggestions)
 
 
+def test_a_run_beyond_the_bound_takes_passes_by_its_rows(spark, monkeypatch):
+    themes = [theme(i, f"Name {i}") for i in range(1, 45)]
+    links = [(i, "Shared" if i % 2 else "shared") for i in range(1, 45)]
+    # Each merge shares a theme with the one after it, so rounds would take one each.
+    suggestions = [(s, "merge", f"Round {s}", f"d{s}", [1, s + 1, s + 2], ["SHARED"], None) for s in range(1, 13)]
+    suggestions += [(13, "new", "name 44", "d", [], ["x"], None), (14, "update", "name 44", "d14", [44], ["X"], None), (15, "reuse", "ignored", "d", [9], ["more"], None)]
+    rounds = []
+    ready = theme_state._ready
+    monkeypatch.setattr(theme_state, "_ready", lambda *given: rounds.append(1) or ready(*given))
+    check(spark, themes, links, suggestions, 45)
+    assert len(rounds) <= 1
+
+
 def test_merge_takes_the_name_of_a_loser(spark):
     themes = [theme(1, "Rivers"), theme(2, "Lakes and Rivers"), theme(3, "Old", 2)]
     links = [(1, "Flood"), (2, "flood"), (2, "Depth"), (2, "Fish")]
