@@ -224,6 +224,18 @@ def test_leaks_at_the_greatest_distance(spark):
         assert got[d] == {n: x for n, x in distances.items() if x <= int(decontaminate.EDITS * len(squeeze(items[n][1])))}
 
 
+def test_a_passage_is_verified_once(monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    items = [" ".join(word() for _ in range(40)) for _ in range(12)]
+    index = decontaminate.Index.build(list(range(12)), items)
+    calls, verify = [], decontaminate.Index._verify
+    monkeypatch.setattr(decontaminate.Index, "_verify", lambda self, data, numbers, bounds, n, *rest: calls.append(n) or verify(self, data, numbers, bounds, n, *rest))
+    texts = [" ".join((*(word() for _ in range(50)), edited(item, 0.02, rng), *(word() for _ in range(50)))) for item in items]
+    found = index.matches(*decontaminate.joined(texts))
+    assert [(t, n) for t, n, _ in found] == [(n, n) for n in range(12)] and len(calls) < 1.5 * len(items)
+
+
 def test_leaks_of_short_and_unspaced_items(spark):
     chinese = "".join(chr(0x4E00 + (n * n * 31 + 7 * n) % 4000) for n in range(60))
     slipped = "".join("一" if n % 15 == 7 else c for n, c in enumerate(chinese))

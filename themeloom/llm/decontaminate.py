@@ -190,16 +190,33 @@ class Index:
         base = np.cumsum(bands) - bands
         least, numbers = np.repeat(self.least, bands), runs(data)
         # The band is the diagonal by the width, rounded down: the half keeps products of floats off whole numbers.
-        shift, share = base[self.item], 1 / width[self.item]
-        ahead = (longest - self.place + 0.5) * share
+        share = 1 / width[self.item]
+        ahead = (longest - self.place + 0.5) * share + base[self.item]
+        # Of two neighbours that reach the number together one has at least half of it.
+        half = (int(self.least[self.long].min()) + 1) // 2
         for start in range(0, len(data), step):
-            counts = np.zeros(len(least) + 1, np.int64)
+            counts = None
             for at, row in self.counted.pairs(*self.counted.find(numbers[start:start + step + reach])):
-                counts += np.bincount(shift[row] + (at * share[row] + ahead[row]).astype(np.int64), minlength=len(counts))
-            for cell in np.flatnonzero(counts[:-1] + counts[1:] >= least).tolist():
-                n = int(np.searchsorted(base, cell, side="right")) - 1
+                cell = share[row]
+                cell *= at
+                cell += ahead[row]
+                more = np.bincount(cell.astype(np.int64), minlength=len(least) + 1)
+                counts = more if counts is None else np.add(counts, more, out=counts)
+            if counts is None:
+                continue
+            some = counts >= half
+            some = np.flatnonzero(some[:-1] | some[1:])
+            some = some[counts[some] + counts[some + 1] >= least[some]]
+            which = np.searchsorted(base, some, side="right") - 1
+            # What lies in one band makes two pairs of neighbours reach the number: they are verified as one.
+            after = np.zeros(len(some), bool)
+            after[1:] = (some[1:] == some[:-1] + 1) & (which[1:] == which[:-1])
+            run = np.arange(len(some)) - np.maximum.accumulate(np.where(after, 0, np.arange(len(some))))
+            first = run % 2 == 0
+            both = np.append(after[1:] & first[:-1], np.zeros(min(1, len(some)), bool))
+            for cell, n, more in zip(some[first].tolist(), which[first].tolist(), both[first].tolist()):
                 low = start + (cell - int(base[n])) * int(width[n]) - longest
-                self._verify(data, numbers, bounds, n, low - int(self.most[n]), low + 2 * int(width[n]) + int(size[n] + self.most[n]), found)
+                self._verify(data, numbers, bounds, n, low - int(self.most[n]), low + (2 + more) * int(width[n]) + int(size[n] + self.most[n]), found)
 
     def _verify(self, data: np.ndarray, numbers: np.ndarray, bounds: np.ndarray, n: int, low: int, high: int, found: dict[tuple[int, int], int]) -> None:
         """The texts between two places against item ``n``."""
