@@ -146,6 +146,34 @@ def test_multikey_quicksort():
     assert ordered == sorted(set(ordered))
 
 
+def test_documents_of_a_cell():
+    for doc in ([-brute.LAST - 1, -5, -5, 0, 7, brute.LAST], [3, 3, 4, 200], [9], [0, 0, 1 << 40]):
+        doc = np.array(doc, np.int64)
+        assert suffixes._at(suffixes._docs(doc)).tolist() == doc.tolist()
+    assert len(suffixes._docs(np.arange(0, 1000, 3))) < 1_100
+
+
+def test_cells_stay_small_when_there_are_many(spark):
+    """At thousands of cells a document has an entry in each at most: naming it may not take more than the entry itself."""
+    rng = random.Random(7)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(400)]
+    docs = [(d, "\n".join(rng.sample(lines, 20)), 1) for d in range(600)]
+    texts = spark.createDataFrame(docs, SCHEMA).selectExpr("doc_id AS doc", "CAST(text AS BINARY) AS text")
+    cells = suffixes._shared_anchors(texts, 100, 4096, 50).where("kind = 0").drop("kind").toArrow()
+    size = lambda name: sum(len(x) for x in cells.column(name).to_pylist())
+    entries = size("data") // 4
+    assert entries > 10 * cells.num_rows
+    assert sum(size(c) for c in cells.column_names if c not in ("part", "data")) < 3 * entries
+
+
+def test_lists_of_anchors_travel_once(spark):
+    """Every use of the lists has the same exchange: the plan of one that leaves out documents without a list has no filter below it."""
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(40)]
+    found = suffixes.repeats(spark.createDataFrame([(d, "\n".join(rng.sample(lines, 20)), 1) for d in range(50)], SCHEMA))
+    assert "isnotnull(anchors" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_repeats_of_nothing(spark):
     assert suffixes.repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
