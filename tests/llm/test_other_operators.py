@@ -208,6 +208,18 @@ def test_top_k_of_many_blocks_and_beyond_64_bits(spark, monkeypatch):
     assert got == sorted(expected)
 
 
+def test_copies_of_queries_are_not_broadcast(spark, monkeypatch):
+    """Blocks of queries are copied for every group; however few bytes they are by Spark's estimate, the driver holds none of the copies."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(n, rng.normal(0, 0.2, 6).tolist()) for n in range(200)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    found = topk.top_k(df, df.where("vec_id % 20 = 0"), 7)
+    assert found.count() == 70
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join [group#" in plan
+    assert "BroadcastHashJoin [group#" not in plan
+
+
 def test_search_reads_few_vectors():
     rng = np.random.default_rng(5)
     vectors = np.floor(64 * rng.normal(0, 0.125, (4000, 32))).astype(np.int64)

@@ -213,10 +213,13 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", ve
     none = {"f_ids": F.lit(None).cast("array<bigint>"), "f_scores": F.lit(None).cast("array<bigint>")}
 
     def spread(some: DataFrame, asked: DataFrame) -> DataFrame:
-        """Pairs of blocks of one dimension: blocks of candidates are dealt to groups, blocks of queries copied to each."""
+        """Pairs of blocks of one dimension: blocks of candidates are dealt to groups, blocks of queries copied to each.
+
+        The copies are not counted in Spark's estimate of their size, so a broadcast would bring all of them to the driver.
+        """
         groups = max(1, min(tasks(spark), blocks_in_all))
         copies = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return some.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(copies, ["group", "dim"])
+        return some.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(copies.hint("merge"), ["group", "dim"])
 
     blocks_in_all = candidates.count()
     first = marked.where("is_first") if blocks_in_all > 1 else marked
