@@ -1,10 +1,14 @@
 """Streams end where the batch transforms end, and take only what is new."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from themeloom.operators import jobs
 from themeloom.plans import catalog
 from themeloom.plans import relations as rel
+from themeloom.session import cut_lineage, scratch, shared_folder
 from themeloom.sources import tables
 from themeloom.streaming import stages
 
@@ -110,3 +114,33 @@ def test_pipeline_in_batches(spark, tmp_path):
     asked = {r["action"]: r["topic_key"] for r in tables.read_stage(spark, out, "suggestions").where("batch_id = 1").collect()}
     assert asked == {"reuse": "kettle"}  # its membership grew
     assert tables.read_stage(spark, out, "embeddings").count() == 7
+
+
+def test_tables_of_a_block_go_with_it(spark):
+    rows = spark.range(5)
+    with pytest.raises(ZeroDivisionError):
+        with scratch(spark) as keep:
+            with scratch(spark) as keep_inner:
+                gone, until_outer = cut_lineage(rows), keep_inner(rows)
+            stays = keep(rows)
+            assert not os.path.exists(gone.inputFiles()[0].removeprefix("file:"))
+            assert until_outer.count() == 5
+            1 // 0
+    assert not os.path.exists(until_outer.inputFiles()[0].removeprefix("file:"))
+    assert stays.count() == 5
+
+
+def test_a_batch_leaves_no_tables_behind(spark, tmp_path):
+    """Records, segments and units of a batch hold its texts many times over; only its stages and state stay."""
+    source = str(tmp_path / "in")
+    records = spark.createDataFrame(
+        [(n, f"text {n}\nand more of {n}", "web", None, None) for n in range(6)],
+        "record_id long, original_text string, source string, submission_key string, question_context struct<form_key:string,question_key:string,question_version:int,question_text:string>",
+    )
+    records.write.parquet(source)
+    at = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}".removeprefix("file:")
+    tables_there = lambda: {f"{top}/{f}" for top, _, names in os.walk(at) for f in names if f.endswith(".parquet")}
+    before = tables_there()
+    stages.stream_pipeline(stages.read_stream(spark, source, records.schema), str(tmp_path / "out"))
+    assert tables.read_stage(spark, str(tmp_path / "out"), "inputs").count() == 6
+    assert tables_there() == before
