@@ -4,10 +4,12 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from themeloom.operators import intake, products, reports
+from themeloom.plans import catalog
 from themeloom.session import long_dictionaries
 from themeloom.sources import schema
 
@@ -124,3 +126,15 @@ def test_convergence_pairs_only_rarer_topics(spark, small_strips, monkeypatch, m
     assert got == {k: n for k, n in expected.items() if n >= minimum}
     if minimum > 1:  # the hot topic takes no part in the product
         assert seen[0][2] <= sum(expected.values()) - 20 * 51
+
+
+def test_long_rows_after_short_ones_leave_the_writer(spark, tmp_path):
+    """Inputs without themes and then inputs with long texts of them: the writer may not hold thousands of these before it looks."""
+    catalog.QUERIES["inputs_with_themes"](spark, "/root/testdata/sf0.001")
+    words = F.transform(F.sequence(F.lit(1), F.lit(1600)), lambda n: F.sha2(F.concat(F.col("id").cast("string"), F.lit("-"), n.cast("string")), 256))
+    rows = spark.range(0, 6200, 1, 1).select(F.when(F.col("id") < 6000, "").otherwise(F.array_join(words, "")).alias("themes"))
+    rows.write.option("parquet.block.size", 1 << 20).parquet(str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("*.parquet")
+    found = pq.ParquetFile(file).metadata
+    assert found.num_rows == 6200
+    assert max(found.row_group(n).total_byte_size for n in range(found.num_row_groups)) < 4 << 20
